@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.constants import (COMPANY_PATTERN, FOLLOWER_PATTERN, HYDRATION_PATTERN,
@@ -10,6 +12,20 @@ from adlens.constants import (COMPANY_PATTERN, FOLLOWER_PATTERN, HYDRATION_PATTE
 from adlens.functions.text import strip
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` for use in ``body``, so that it is evaluated once however often it occurs."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fenced(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """``keep`` plus computed columns that no later filter can be pushed into.
+
+    Spark moves a filter on a computed column below the projection by repeating the expression.
+    For a parsed page that means parsing twice; a one-element generator keeps the filter above.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_of(values: Column) -> Column:
     """First element, or NULL for an empty or missing list."""
     return F.try_element_at(values, F.lit(1))

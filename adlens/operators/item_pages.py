@@ -8,39 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlens.functions.payload import (company_profile, first_of, follower_count, hydration_texts,
-                                      loader_section)
+from adlens.functions.payload import (company_profile, fenced, first_of, follower_count,
+                                      hydration_texts, let, loader_section)
 from adlens.operators.search_pages import list_size
 from adlens.schemas import COMPANY_PROFILE, ITEM_SECTION
 
 
 def parse_item_pages(pages: DataFrame) -> DataFrame:
     """Add ``section`` (typed item data), ``raw`` (VARIANT), ``followers``, ``company``, ``parse_error``."""
-    texts = pages.withColumn("_texts", hydration_texts(F.col("html")))
-    sections = F.filter(F.transform("_texts", loader_section), lambda s: s.isNotNull())
-    found = texts.withColumn("raw", first_of(sections))
-    return found.select(
+    found = fenced(pages, pages.columns, _found=let(hydration_texts(F.col("html")), lambda t: F.struct(
+        F.size(t).alias("n"),
+        first_of(F.filter(F.transform(t, loader_section), lambda s: s.isNotNull())).alias("raw"))))
+    return found.select("*", F.col("_found.raw").alias("raw")).select(
         *pages.columns, "raw",
         F.try_variant_get("raw", "$", ITEM_SECTION).alias("section"),
         follower_count(F.col("html")).alias("followers"),
         F.try_variant_get(company_profile(F.col("html")), "$", COMPANY_PROFILE).alias("company"),
-        F.when(F.size("_texts") == 0, "no hydration data")
+        F.when(F.col("_found.n") == 0, "no hydration data")
         .when(F.col("raw").isNull(), "no item section").alias("parse_error"))
 
 
 def item_extras(extras: Column) -> Column:
     """``extra_<id> -> value`` and ``extra_<id>_id -> valueId``; the last repeat of an id wins."""
-    valid = F.filter(F.coalesce(extras, F.array()),
-                     lambda e: F.coalesce(e["id"], F.lit("")) != "")
-    pairs = F.flatten(F.transform(valid, lambda e: F.filter(F.array(
-        F.struct(F.concat(F.lit("extra_"), e["id"]).alias("k"), e["value"].alias("v"),
-                 F.lit(True).alias("on")),
-        F.struct(F.concat(F.lit("extra_"), e["id"], F.lit("_id")).alias("k"),
-                 e["valueId"].alias("v"), e["valueId"].isNotNull().alias("on"))),
-        lambda p: p["on"])))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    def entries(e: Column) -> Column:
+        name = F.concat(F.lit("extra_"), e["id"])
+        value = F.struct(name.alias("k"), e["value"].alias("v"))
+        ident = F.struct(F.concat(name, F.lit("_id")).alias("k"), e["valueId"].alias("v"))
+        return F.when(e["valueId"].isNull(), F.array(value)).otherwise(F.array(value, ident))
+
+    valid = F.filter(F.coalesce(extras, F.array()), lambda e: F.coalesce(e["id"], F.lit("")) != "")
+    return let(F.flatten(F.transform(valid, entries)), lambda pairs: let(
+        F.array_distinct(F.transform(pairs, lambda p: p["k"])),
+        lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
+            F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))))
 
 
 def category_columns(category: Column) -> dict[str, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlens.constants import FLAG_BUY_NOW, FLAG_PRIVATE, FLAG_RETAILER, FLAG_SHIPPING
-from adlens.functions.payload import first_with, payload_queries, search_payload
+from adlens.functions.payload import fenced, first_with, let, payload_queries, search_payload
 from adlens.functions.text import absolute_url, joined, strip
 from adlens.operators.ingest import keep_first
 from adlens.schemas import PAGE_METADATA, SEARCH_DOC
@@ -22,19 +22,19 @@ from adlens.schemas import PAGE_METADATA, SEARCH_DOC
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Add ``docs`` (list of VARIANT), ``promoted`` (VARIANT), ``metadata`` and ``parse_error``."""
-    parsed = pages.withColumn("_payload", search_payload(F.col("html")))
-    queries = parsed.withColumn("_queries", payload_queries(F.col("_payload")))
-    found = queries.withColumn("_data", F.try_variant_get(
-        first_with(F.col("_queries"), "$.state.data.docs"), "$.state.data", "variant"))
+    entry = "$.state.data.result.searchEntry"
+    found = fenced(pages, pages.columns, _found=let(
+        payload_queries(search_payload(F.col("html"))), lambda q: F.struct(
+            q.isNull().alias("lost"),
+            F.try_variant_get(first_with(q, "$.state.data.docs"), "$.state.data", "variant").alias("data"),
+            F.try_variant_get(first_with(q, entry), entry, "variant").alias("promoted"))))
+    data = F.col("_found.data")
     return found.select(
         *pages.columns,
-        F.try_variant_get("_data", "$.docs", "array<variant>").alias("docs"),
-        F.try_variant_get(
-            first_with(F.col("_queries"), "$.state.data.result.searchEntry"),
-            "$.state.data.result.searchEntry", "variant").alias("promoted"),
-        F.try_variant_get("_data", "$.metadata", PAGE_METADATA).alias("metadata"),
-        F.when(F.col("_payload").isNull(), "no payload")
-        .when(F.col("_data").isNull(), "no docs").alias("parse_error"))
+        F.try_variant_get(data, "$.docs", "array<variant>").alias("docs"),
+        F.col("_found.promoted").alias("promoted"),
+        F.try_variant_get(data, "$.metadata", PAGE_METADATA).alias("metadata"),
+        F.when(F.col("_found.lost"), "no payload").when(data.isNull(), "no docs").alias("parse_error"))
 
 
 def explode_listings(parsed: DataFrame, keep: Sequence[str] = (), include_raw: bool = False) -> DataFrame:
@@ -74,9 +74,10 @@ def extras_map(extras: Column) -> Column:
     """``id -> joined values``; entries without id or values are skipped, the last repeat wins."""
     valid = F.filter(extras, lambda e: (F.coalesce(e["id"], F.lit("")) != "")
                      & (F.coalesce(F.size(e["values"]), F.lit(0)) > 0))
-    ids = F.array_distinct(F.transform(valid, lambda e: e["id"]))
-    return F.map_from_arrays(ids, F.transform(ids, lambda k: joined(F.element_at(
-        F.filter(valid, lambda e: e["id"] == k), -1)["values"], missing="None")))
+    return let(valid, lambda entries: let(
+        F.array_distinct(F.transform(entries, lambda e: e["id"])),
+        lambda ids: F.map_from_arrays(ids, F.transform(ids, lambda k: joined(F.element_at(
+            F.filter(entries, lambda e: e["id"] == k), -1)["values"], missing="None")))))
 
 
 def extras_columns(df: DataFrame, keys: Sequence[str], source: str = "extras") -> DataFrame:
