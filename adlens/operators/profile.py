@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.constants import PERCENTILES, WEEKDAYS
@@ -150,7 +150,9 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
 
 def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Population skewness and excess kurtosis per column."""
-    return _per_column(df, list(columns), {"skewness": F.skewness, "kurtosis": F.kurtosis})
+    return _per_column(df, list(columns), {
+        "skewness": lambda c: F.nanvl(F.skewness(c), F.lit(None)),
+        "kurtosis": lambda c: F.nanvl(F.kurtosis(c), F.lit(None))})
 
 
 def iqr_outliers(df: DataFrame, price: str = "price_amount") -> DataFrame:
@@ -187,7 +189,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     counts = (values.crossJoin(F.broadcast(span)).withColumn("_g", guess)
               .groupBy(settled.alias("bin")).agg(F.count("*").alias("n")))
     frame = span.where(F.col("_lo").isNotNull()).select(
-        "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+        "_lo", "_hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     return (frame.join(counts, "bin", "left")
             .select("bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"),
                     F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin"))
@@ -279,11 +281,19 @@ def hour_counts(df: DataFrame, ts: str) -> DataFrame:
 # ---- association with the price ----------------------------------------------------------
 
 def feature_correlation(df: DataFrame, features: Sequence[str], target: str = "log_price") -> DataFrame:
-    """Pearson r of each feature with the target over pairwise complete rows, weakest first."""
+    """Pearson r of each feature with the target over pairwise complete rows, weakest first.
+
+    A constant feature has no correlation: NULL.
+    """
+    def pearson(c: str) -> Column:
+        x, y = F.col(c), F.col("_y")
+        spread = (F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
     names = list(features)
     numbers = df.select(F.col(target).cast("double").alias("_y"),
                         *[F.col(c).cast("double").alias(c) for c in names])
-    return _per_column(numbers, names, {"r": lambda c: F.corr(F.col(c), F.col("_y"))}).select(
+    return _per_column(numbers, names, {"r": pearson}).select(
         F.col("column").alias("feature"), "r").orderBy(F.abs("r").asc_nulls_first(), "feature")
 
 

@@ -34,10 +34,11 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], small: bool) ->
 
 
 def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
-                      group_by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+                      group_by: Sequence[str] = (), few_groups: bool = False,
+                      name: str = "value") -> DataFrame:
     """Linear-interpolation percentiles: one row per group and probability.
 
-    Columns: ``group_by``, ``p``, ``n`` (values counted), ``value``.  NULL and NaN are skipped; a
+    Columns: ``group_by``, ``p``, ``n`` (values counted) and ``name``.  NULL and NaN are skipped; a
     group without values has no row.  ``few_groups`` says that the number of groups is bounded
     by a fixed list, so the located buckets may be broadcast; otherwise Spark decides by size.
     """
@@ -100,7 +101,7 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
     low = F.element_at("_at", F.floor(position).cast("bigint"))
     high = F.element_at("_at", F.ceil(position).cast("bigint"))
     return spread.select(*keys, "p", "n",
-                         (low + (high - low) * (position - F.floor(position))).alias("value"))
+                         (low + (high - low) * (position - F.floor(position))).alias(name))
 
 
 def percentiles_wide(df: DataFrame, value: str, named: dict[str, float],
@@ -114,9 +115,9 @@ def percentiles_wide(df: DataFrame, value: str, named: dict[str, float],
     if not exact:
         return df.groupBy(*keys).agg(*[
             F.percentile_approx(value, p, 100_000).alias(n) for n, p in named.items()])
-    long = exact_percentiles(df, value, list(named.values()), keys, few_groups)
+    long = exact_percentiles(df, value, list(named.values()), keys, few_groups, name="_value")
     return long.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(n) for n, p in named.items()])
+        F.max(F.when(F.col("p") == float(p), F.col("_value"))).alias(n) for n, p in named.items()])
 
 
 def median_by(df: DataFrame, value: str, group_by: Sequence[str] = (), name: str = "median",
