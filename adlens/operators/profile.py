@@ -321,14 +321,24 @@ def mutual_information(df: DataFrame, discrete: Sequence[str], continuous: Seque
         *[(F.coalesce(F.col(c), F.lit("Unknown")) if types[c] == "string" else
            F.coalesce(F.col(c).cast("int").cast("string"), F.lit("0"))).alias(c) for c in discrete],
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers])
-    binned = lambda c: F.size(F.filter(f"_e_{c}", lambda e: e < F.col(c)))
-    cells = clean.crossJoin(F.broadcast(_edges(clean, numbers, bins))).select(
-        binned(target).alias("y"),
+    edges = _edges(clean, numbers, bins)
+
+    def below(value: Column, cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda e: e < value))
+
+    def entry(c: str, label: Column, value: Column, cuts: Column) -> Column:
+        return F.struct(F.lit(c).alias("feature"), label.alias("label"), value.alias("value"),
+                        cuts.alias("cuts"))
+
+    none = [F.lit(None).cast(t) for t in ("string", "double", "array<double>")]
+    long = clean.crossJoin(F.broadcast(edges)).select(
+        below(F.col(target), F.col(f"_e_{target}")).alias("y"),
         F.explode(F.array(
-            *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in discrete],
-            *[F.struct(F.lit(c).alias("feature"), binned(c).cast("string").alias("x"))
-              for c in continuous])).alias("f"))
-    joint = cells.groupBy("f.feature", "f.x", "y").agg(F.count("*").alias("nxy"))
+            *[entry(c, F.col(c), none[1], none[2]) for c in discrete],
+            *[entry(c, none[0], F.col(c), F.col(f"_e_{c}")) for c in continuous])).alias("f"))
+    cells = long.select("y", "f.feature", F.coalesce(
+        "f.label", below(F.col("f.value"), F.col("f.cuts")).cast("string")).alias("x"))
+    joint = cells.groupBy("feature", "x", "y").agg(F.count("*").alias("nxy"))
     return information_from_counts(joint)
 
 

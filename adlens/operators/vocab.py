@@ -28,7 +28,7 @@ def fit_vocabulary(df: DataFrame, text: str) -> DataFrame:
         "word", (F.col("position") + FIRST_WORD_ID).alias("token_id"))
     special = df.sparkSession.range(1).select(F.inline(F.array(
         F.struct(F.lit(PAD_TOKEN).alias("word"), F.lit(PAD_ID).cast("bigint").alias("token_id")),
-        F.struct(F.lit(UNK_TOKEN), F.lit(UNK_ID).cast("bigint")))))
+        F.struct(F.lit(UNK_TOKEN).alias("word"), F.lit(UNK_ID).cast("bigint").alias("token_id")))))
     return special.unionByName(ids)
 
 
