@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from adlens.constants import EMBEDDING_DIM, HIDDEN_DIMS, MAX_SEQUENCE
 from adlens.operators.vocab import PAD_ID
@@ -159,7 +160,7 @@ def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times:
             return net.forward(tokens.astype(int), features)
         return run
 
-    infer = predict_batch_udf(make, return_type="double", batch_size=batch_size,
+    infer = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
                               input_tensor_shapes=[[length], [len(times)]])
     clipped = F.transform(ids, lambda t: F.when(t < known, t).otherwise(1))
     padded = F.when(F.size(ids) > length, F.raise_error(F.lit(

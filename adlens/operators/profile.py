@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.constants import PERCENTILES, WEEKDAYS
@@ -343,11 +343,14 @@ def mutual_information(df: DataFrame, discrete: Sequence[str], continuous: Seque
 
 
 def information_from_counts(joint: DataFrame) -> DataFrame:
-    """Mutual information per ``feature`` from its contingency counts ``x, y, nxy``."""
-    nx = joint.groupBy("feature", "x").agg(F.sum("nxy").alias("nx"))
-    ny = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
-    n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
-    full = joint.join(nx, ["feature", "x"]).join(ny, ["feature", "y"]).join(n, "feature")
+    """Mutual information per ``feature`` from its contingency counts ``x, y, nxy``.
+
+    The windows run over contingency cells (levels x target bins per feature), not over rows.
+    """
+    def total(*keys: str) -> Column:
+        return F.sum("nxy").over(Window.partitionBy("feature", *keys))
+
+    full = joint.select("nxy", "feature", total("x").alias("nx"), total("y").alias("ny"), total().alias("n"))
     term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     return full.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi")
                                        ).orderBy(F.desc("mi"), "feature")

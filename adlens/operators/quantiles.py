@@ -39,7 +39,8 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
     """Linear-interpolation percentiles: one row per group and probability.
 
     Columns: ``group_by``, ``p``, ``n`` (values counted) and ``name``.  NULL and NaN are skipped; a
-    group without values has no row.  ``few_groups`` says that the number of groups is bounded
+    group without values has no row; without ``group_by`` an empty column gives NULL values.
+    ``few_groups`` says that the number of groups is bounded
     by a fixed list, so the located buckets may be broadcast; otherwise Spark decides by size.
     """
     keys = list(group_by)
