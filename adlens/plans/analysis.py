@@ -408,13 +408,13 @@ def histogram_sql(cte: str, source: str, column: str, bins: int) -> str:
   H AS (SELECT CASE WHEN x < lo + g * ((hi - lo) / {bins}) THEN g - 1
     WHEN g < {bins - 1} AND x >= lo + (g + 1) * ((hi - lo) / {bins}) THEN g + 1 ELSE g END AS bin FROM G),
   C AS (SELECT bin, count(*) AS n FROM H GROUP BY 1)
-  SELECT r.bin AS bin, round(lo + r.bin * ((hi - lo) / {bins}), 4) AS bin_start,
-    round(lo + (r.bin + 1) * ((hi - lo) / {bins}), 4) AS bin_end, coalesce(C.n, 0) AS n
+  SELECT r.bin AS bin, round(lo + r.bin * ((hi - lo) / {bins}), 7) AS bin_start,
+    round(lo + (r.bin + 1) * ((hi - lo) / {bins}), 7) AS bin_end, coalesce(C.n, 0) AS n
   FROM (SELECT unnest(range({bins})) AS bin) r CROSS JOIN B LEFT JOIN C ON C.bin = r.bin"""
 
 
 def _histogram(df, column, bins):
-    return rounded(profile.histogram(df, column, bins), 4, "bin_start", "bin_end")
+    return rounded(profile.histogram(df, column, bins), 7, "bin_start", "bin_end")
 
 
 @query("price_histogram", histogram_sql(S, "S", "price_amount", 80))

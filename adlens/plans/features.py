@@ -274,7 +274,7 @@ def regression_metrics(spark, d):
 @query("residual_histogram", histogram_sql(f"""{S}, E AS (SELECT price_amount - CAST({_GUESS} AS DOUBLE) AS residual FROM S)""",
                                            "E", "residual", 50))
 def residual_histogram(spark, d):
-    return rounded(models.residual_histogram(_guessed(spark, d), "price_amount", "prediction"), 4, "bin_start", "bin_end")
+    return rounded(models.residual_histogram(_guessed(spark, d), "price_amount", "prediction"), 7, "bin_start", "bin_end")
 
 
 def _two_spaces(spark, d):

@@ -59,7 +59,7 @@ def scan_search_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Pages landed as one HTML file each: ``url`` (file path) and ``html``."""
-    return (ensure_utc(spark).read.option("wholetext", True).text(path)
+    return (ensure_utc(spark).read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")))
 
 
