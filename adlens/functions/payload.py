@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from adlens.constants import (COMPANY_PATTERN, FOLLOWER_PATTERN, HYDRATION_PATTERN,
                               SCRIPT_PATTERN, SEARCH_BLOB_PATTERN)
-from adlens.functions.text import strip
+
+# Characters that count as whitespace at the ends of a script body.
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def let(value: Column, body) -> Column:
@@ -34,7 +37,7 @@ def first_of(values: Column) -> Column:
 def script_blobs(html: Column) -> Column:
     """All script bodies that look like base64 of a JSON object, in page order."""
     found = F.regexp_extract_all(html, F.lit(SEARCH_BLOB_PATTERN), F.lit(1))
-    return F.transform(found, lambda b: F.btrim(b, F.lit(" \t\r\n\x0b\x0c")))
+    return F.transform(found, lambda b: F.btrim(b, F.lit(BLANKS)))
 
 
 def tolerant_base64(encoded: Column) -> Column:
@@ -66,19 +69,23 @@ def first_with(queries: Column, path: str) -> Column:
 
 
 def script_bodies(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(SCRIPT_PATTERN), F.lit(1)), strip)
+    return F.regexp_extract_all(html, F.lit(SCRIPT_PATTERN), F.lit(1))
 
 
 def unescape_js(literal: Column) -> Column:
     """Text of a JavaScript string literal, read as a JSON string.
 
     The two escapes JSON lacks are rewritten first: ``\\xHH`` and ``\\'``.  A match must
-    start at an unescaped backslash, so complete pairs before it are kept.
+    start at an unescaped backslash, so complete pairs before it are kept.  Both are rare, so
+    the patterns run only on text that holds such a pair of characters at all.
     """
-    hex_fixed = F.regexp_replace(literal, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
-    fixed = F.regexp_replace(hex_fixed, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
-    return F.from_json(F.concat(F.lit('{"x":"'), fixed, F.lit('"}')), "x STRING",
-                       {"allowUnquotedControlChars": "true"})["x"]
+    def rewrite(text: Column, pair: str, pattern: str, replacement: str) -> Column:
+        return F.when(text.contains(pair), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+    hex_fixed = rewrite(literal, "\\x", r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+    return let(hex_fixed, lambda h: F.from_json(
+        F.concat(F.lit('{"x":"'), rewrite(h, "\\'", r"(?<!\\)((?:\\\\)*)\\'", "$1'"), F.lit('"}')),
+        "x STRING", {"allowUnquotedControlChars": "true"})["x"])
 
 
 def hydration_texts(html: Column) -> Column:
@@ -106,7 +113,8 @@ def follower_count(html: Column) -> Column:
 def company_profile(html: Column) -> Column:
     """Seller profile object inside the company element, as VARIANT; NULL for private sellers."""
     element = F.regexp_extract(html, COMPANY_PATTERN, 1)
-    objects = F.filter(script_bodies(element), lambda s: s.startswith("{"))
+    bodies = F.transform(script_bodies(element), lambda s: F.btrim(s, F.lit(BLANKS)))
+    objects = F.filter(bodies, lambda s: s.startswith("{"))
     profiles = F.transform(objects, lambda s: F.try_variant_get(
         F.try_parse_json(s), "$.extendedProfileRecommerce", "variant"))
     return first_of(F.filter(profiles, lambda p: F.try_variant_get(

@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from adlens.constants import EMBEDDING_DIM, HIDDEN_DIMS, MAX_SEQUENCE
 from adlens.operators.vocab import PAD_ID
 
+SCORE_BAND = 16.0     # width of the score bands of the softmax
+
 
 def position_vector(pos: Column, dim: int) -> Column:
     """Sinusoidal position encoding: sine in even and cosine in odd places."""
@@ -58,9 +60,11 @@ def attention_pool(df: DataFrame, group: Sequence[str], vector: str, score: Sequ
                    uniform: bool = False, mask: Column | None = None) -> DataFrame:
     """Softmax-weighted mean of the vectors of each group, one row per group with ``pooled``.
 
-    Two hash aggregates with map-side combine: the largest score per group, which keeps the
-    exponentials in range, and the weighted sums, one per dimension.  Rows outside ``mask``
-    (padding) do not count.  ``uniform`` gives the plain mean instead.
+    One pass over the rows and no join.  Scores are cut into bands of ``SCORE_BAND``; inside a
+    band the exponentials are taken relative to its lower end, so they cannot overflow, and one
+    hash aggregate with map-side combine sums them per (group, band).  The few bands of a group
+    are then put on the scale of its highest one.  Rows outside ``mask`` (padding) do not count.
+    ``uniform`` gives the plain mean instead.
     """
     group = list(group)
     dim = len(score)
@@ -68,15 +72,20 @@ def attention_pool(df: DataFrame, group: Sequence[str], vector: str, score: Sequ
     v = F.col(vector)
     parts = [v.getItem(i).cast("double") for i in range(dim)]
     dot = sum((p * F.lit(float(w)) for p, w in zip(parts[1:], score[1:])), parts[0] * F.lit(float(score[0])))
-    scored = rows.select(*group, *[p.alias(f"_x{i}") for i, p in enumerate(parts)],
-                         (F.lit(0.0) if uniform else dot).alias("_s"))
-    top = scored.groupBy(*group).agg(F.max("_s").alias("_top"))
-    match = [F.col(f"a.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group]
-    weighted = scored.alias("a").join(top.alias("t"), match).select(
-        "a.*", F.exp(F.col("_s") - F.col("_top")).alias("_w"))
-    sums = weighted.groupBy(*group).agg(
-        F.sum("_w").alias("_sum"), *[F.sum(F.col(f"_x{i}") * F.col("_w")).alias(f"_x{i}") for i in range(dim)])
-    return sums.select(*group, F.array(*[F.col(f"_x{i}") / F.col("_sum") for i in range(dim)]).alias("pooled"))
+    places = [f"_x{i}" for i in range(dim)]
+    band = F.floor(F.col("_s") / SCORE_BAND)
+    weighted = (rows.select(*group, *[p.alias(n) for n, p in zip(places, parts)],
+                            (F.lit(0.0) if uniform else dot).alias("_s"))
+                .withColumn("_band", band)
+                .withColumn("_w", F.exp(F.col("_s") - F.col("_band") * SCORE_BAND)))
+    banded = weighted.groupBy(*group, "_band").agg(
+        F.sum("_w").alias("_sum"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in places])
+    top = F.max("_band").over(Window.partitionBy(*group))
+    scaled = banded.withColumn("_k", F.exp((F.col("_band") - top) * SCORE_BAND))
+    sums = scaled.groupBy(*group).agg(
+        F.sum(F.col("_sum") * F.col("_k")).alias("_sum"),
+        *[F.sum(F.col(n) * F.col("_k")).alias(n) for n in places])
+    return sums.select(*group, F.array(*[F.col(n) / F.col("_sum") for n in places]).alias("pooled"))
 
 
 def time2vec(inputs: Sequence[Column], linear: Sequence[float], linear_bias: float,

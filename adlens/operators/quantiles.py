@@ -33,6 +33,14 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], small: bool) ->
     return joined.drop(*[f"_r{c}" for c in on])
 
 
+def counted_values(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """``keys, _v, _n``: rows per distinct value of each group, without NULL and NaN."""
+    v = F.col("_v")
+    return (df.select(*keys, F.col(value).cast("double").alias("_v"))
+            .where(v.isNotNull() & ~F.isnan(v))
+            .groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+
+
 def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
                       group_by: Sequence[str] = (), few_groups: bool = False,
                       name: str = "value") -> DataFrame:
@@ -47,10 +55,8 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
     small = few_groups or not keys
     probs = sorted({float(p) for p in probabilities})
     v = F.col("_v")
-    counted = (df.select(*keys, F.col(value).cast("double").alias("_v"))
-               .where(v.isNotNull() & ~F.isnan(v))
-               .groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-               .withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * COARSE)))
+    counted = counted_values(df, value, keys).withColumn(
+        "_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * COARSE))
 
     # Step 1: coarse histogram, running count, ranks wanted in each bucket.
     coarse = counted.groupBy(*keys, "_b").agg(

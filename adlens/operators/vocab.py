@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlens.constants import PAD_TOKEN, UNK_TOKEN, VOCAB_LIMIT
+from adlens.constants import PAD_TOKEN, UNK_TOKEN
 from adlens.functions.text import normalise_title, words
 from adlens.operators.ranking import ordered_positions
 
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 2
+BROADCAST_WORDS = 1_000_000     # about 60 MB as a hash table
 
 
 def title_words(text: Column) -> Column:
@@ -42,29 +43,40 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _with_ids(tokens: DataFrame, vocabulary: DataFrame, broadcast_limit: int) -> DataFrame:
+    """Look up ``word``.  The vocabulary is broadcast after its size was checked, else joined by word."""
+    side = F.broadcast(vocabulary) if fits(vocabulary, broadcast_limit) else vocabulary
+    return tokens.join(side, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
+
+
+def _content(text: str, normalise: bool) -> Column:
+    return words(normalise_title(F.col(text)) if normalise else F.lower(text))
+
+
 def token_rows(df: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame,
-               normalise: bool = False, broadcast_limit: int = 1_000_000) -> DataFrame:
+               normalise: bool = False, broadcast_limit: int = BROADCAST_WORDS) -> DataFrame:
     """``keys, pos, token_id``: one row per word, unknown words as 1.
 
-    A vocabulary of at most ``broadcast_limit`` words is broadcast after its size was checked, so
-    the tokens are not shuffled by word; a larger one is joined by word, where the frequent words
-    are split by the adaptive skew join.  Texts without words give no row.
+    A vocabulary of at most ``broadcast_limit`` words is broadcast, so the tokens are not shuffled
+    by word; beyond that the frequent words are split by the adaptive skew join.  Texts without
+    words give no row.
     """
-    content = normalise_title(F.col(text)) if normalise else F.lower(text)
-    tokens = df.select(*keys, F.posexplode(words(content)).alias("pos", "word"))
-    side = F.broadcast(vocabulary) if fits(vocabulary, broadcast_limit) else vocabulary
-    return tokens.join(side, "word", "left").select(
-        *keys, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
+    tokens = df.select(*keys, F.posexplode(_content(text, normalise)).alias("pos", "word"))
+    return _with_ids(tokens, vocabulary, broadcast_limit).select(*keys, "pos", "token_id")
 
 
 def encode_tokens(df: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame,
-                  normalise: bool = False) -> DataFrame:
-    """``keys, ids``: the token ids of each text in order; ``keys`` must identify a row."""
-    rows = token_rows(df, keys, text, vocabulary, normalise)
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
-    return (df.select(*keys).join(lists, list(keys), "left")
-            .select(*keys, F.coalesce(F.transform("_t", lambda t: t["token_id"]),
-                                      F.array().cast("array<bigint>")).alias("ids")))
+                  normalise: bool = False, broadcast_limit: int = BROADCAST_WORDS) -> DataFrame:
+    """``keys, ids``: the token ids of each text in order; ``keys`` must identify a row.
+
+    The texts are placed by key before they are split into words, so with a broadcast vocabulary
+    the lists are put together where the words are.
+    """
+    placed = df.select(*keys, text).repartition(*keys)
+    tokens = placed.select(*keys, F.posexplode_outer(_content(text, normalise)).alias("pos", "word"))
+    lists = _with_ids(tokens, vocabulary, broadcast_limit).groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_t"))
+    return lists.select(*keys, F.transform("_t", lambda t: t["token_id"]).alias("ids"))
 
 
 def pad_sequences(df: DataFrame, ids: str = "ids", split: Sequence[str] = (),
@@ -86,6 +98,3 @@ def pad_sequences(df: DataFrame, ids: str = "ids", split: Sequence[str] = (),
             F.lit(f" exceeds maximum length {max_len}"))).cast("array<bigint>")).otherwise(padded)
     return side.withColumn(ids, padded).drop("_m")
 
-
-__all__ = ["PAD_ID", "UNK_ID", "VOCAB_LIMIT", "title_words", "fit_vocabulary", "word_counts", "fits",
-           "token_rows", "encode_tokens", "pad_sequences"]

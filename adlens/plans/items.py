@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adlens.functions import payload
 from adlens.functions.payload import hydration_texts
 from adlens.operators import ingest, item_pages as ip
 from adlens.plans.registry import D, query
+from adlens.schemas import COMPANY_PROFILE
 from adlens.sources import fixtures, tables
 
 
@@ -44,14 +46,16 @@ def item_section(spark, d):
 
 @query("follower_count", f"{D} SELECT ad_id, CASE WHEN is_retailer THEN CAST(seq_supp AS INT) END AS followers FROM D")
 def follower_count(spark, d):
-    return _parsed(spark, d).select("ad_id", "followers")
+    return fixtures.item_pages(spark, d).select("ad_id", payload.follower_count(F.col("html")).alias("followers"))
 
 
 @query("company_profile", f"""{D} SELECT ad_id, CASE WHEN is_retailer THEN organisation_name END AS org_name,
   CASE WHEN is_retailer THEN CAST(seq_supp AS VARCHAR) END AS org_id FROM D""")
 def company_profile(spark, d):
-    return _parsed(spark, d).select("ad_id", F.col("company.orgName").alias("org_name"),
-                                    F.col("company.orgId").alias("org_id"))
+    profile = payload.company_profile(F.col("html"))
+    return fixtures.item_pages(spark, d).select(
+        "ad_id", F.try_variant_get(profile, "$", COMPANY_PROFILE).alias("c")).select(
+        "ad_id", F.col("c.orgName").alias("org_name"), F.col("c.orgId").alias("org_id"))
 
 
 @query("item_extras", f"""{D} SELECT ad_id, 'extra_brand' AS key, brand AS value FROM D
@@ -105,10 +109,9 @@ def seller_columns(spark, d):
 @query("quarantine_split", f"""{D} SELECT CASE WHEN seq_part % 50 = 0 THEN 'no item section' ELSE 'good' END AS outcome,
   count(*) AS n FROM D GROUP BY ALL""")
 def quarantine_split(spark, d):
-    good, bad = ip.split_quarantine(ip.parse_item_pages(fixtures.item_pages(spark, d, damaged=True)))
-    return (good.select(F.lit("good").alias("outcome"))
-            .unionByName(bad.select(F.col("parse_error").alias("outcome")))
-            .groupBy("outcome").agg(F.count("*").alias("n")))
+    parsed = ip.parse_item_pages(fixtures.item_pages(spark, d, damaged=True))
+    outcome = F.coalesce("parse_error", F.lit("good"))
+    return parsed.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("unfetched_ids", f"""{D} SELECT concat(CAST(o_orderkey AS VARCHAR), '-1') AS ad_id FROM orders
