@@ -36,10 +36,14 @@ def normalise_title(c: Column) -> Column:
 
 
 def first_rule(lowered: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    """Name of the first rule whose pattern occurs in ``lowered``; a missing text gives the default."""
+    """Name of the first rule whose pattern occurs in ``lowered``; a missing text gives the default.
+
+    Unicode word boundaries are slow to test, so each pattern is tried without them first: what
+    fails the looser pattern cannot match the full one.
+    """
     chain = None
     for name, pattern in rules:
-        hit = lowered.rlike("(?U)" + pattern)
+        hit = lowered.rlike("(?U)" + pattern.replace(r"\b", "")) & lowered.rlike("(?U)" + pattern)
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return F.lit(default) if chain is None else chain.otherwise(default)
 

@@ -40,16 +40,17 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
 def pages_until_empty(pages: DataFrame, crawl: Sequence[str], max_pages: int = MAX_PAGES) -> DataFrame:
     """Pages of each crawl before its first empty page, at most ``max_pages``.
 
-    ``pages`` has one row per page with ``page`` and ``n_rows``.
+    ``pages`` has one row per page with ``page`` and ``n_rows``.  The row counts usually come from
+    parsing; placing them by page first lets both uses below read the same exchange, so the pages
+    are parsed once.
     """
+    pages = pages.where(F.col("page") <= max_pages).repartition(*crawl, "page")
     first_empty = pages.groupBy(*crawl).agg(
         F.min(F.when(F.col("n_rows") == 0, F.col("page"))).alias("_first_empty"))
     match = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in crawl]
     kept = pages.alias("p").join(first_empty.alias("e"), match)
-    return kept.where(
-        (F.col("page") <= max_pages)
-        & (F.col("_first_empty").isNull() | (F.col("page") < F.col("_first_empty")))
-    ).select("p.*")
+    return kept.where(F.col("_first_empty").isNull()
+                      | (F.col("page") < F.col("_first_empty"))).select("p.*")
 
 
 def price_cursor(pages: DataFrame, crawl: Sequence[str]) -> DataFrame:

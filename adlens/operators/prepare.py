@@ -29,13 +29,14 @@ def epoch_seconds(df: DataFrame, column: str) -> Column:
 
 
 def fill_with_median(df: DataFrame, source: Column, name: str, exact: bool = True) -> DataFrame:
-    """``source`` as column ``name``, missing values replaced by the median of the present ones."""
+    """``source`` as column ``name``, missing values replaced by the median of the present ones.
+
+    The median is one number and part of the fitted state, so it is computed here, once.  Kept
+    lazy it would be found again by every action on the prepared rows.
+    """
     valued = df.withColumn(name, source)
-    middle = median_by(valued, name, name="_median", exact=exact)
-    # The median is one row (or none for an empty column), so this join is a broadcast of one row.
-    one = middle.agg(F.max("_median").alias("_median"))
-    return (valued.crossJoin(F.broadcast(one))
-            .withColumn(name, F.coalesce(name, "_median")).drop("_median"))
+    middle = median_by(valued.select(name), name, exact=exact).first()["median"]
+    return valued.withColumn(name, F.coalesce(name, F.lit(middle).cast("double")))
 
 
 def prepare_listings(df: DataFrame, title_col: str = "heading", time_col: str = "timestamp_dt",

@@ -79,20 +79,20 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
     # Step 2: fine histogram inside the chosen coarse buckets, between their real bounds.
     share = F.when(F.col("_hi") > F.col("_lo"),
                    (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
-    inside = (_join(counted, chosen.select(*keys, "_b", "_lo", "_hi"), [*keys, "_b"], small)
+    inside = (_join(counted, chosen, [*keys, "_b"], small)
               .withColumn("_f", F.least(F.floor(share * FINE), F.lit(FINE - 1))))
-    fine = inside.groupBy(*keys, "_b", "_f").agg(F.sum("_n").alias("_cnt"))
+    # _total and _ranks depend on the bucket; as grouping columns they need no second join.
+    fine = inside.groupBy(*keys, "_b", "_f", "_total", "_ranks").agg(F.sum("_n").alias("_cnt"))
     fine_running = (Window.partitionBy(*keys, "_b").orderBy("_f")
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fine_placed = fine.withColumn("_before", F.sum("_cnt").over(fine_running) - F.col("_cnt"))
-    fine_chosen = (_join(fine_placed, chosen.select(*keys, "_b", "_total", "_ranks"),
-                         [*keys, "_b"], small)
-                   .select(*keys, "_b", "_f", "_total",
-                           _within(F.col("_before"), F.col("_cnt"), F.col("_ranks")).alias("_ranks"))
-                   .where(F.size("_ranks") > 0))
+    fine_chosen = (fine_placed.select(
+        *keys, "_b", "_f", "_total",
+        _within(F.col("_before"), F.col("_cnt"), F.col("_ranks")).alias("_ranks"))
+        .where(F.size("_ranks") > 0))
 
     # Step 3: running count over the distinct values of the chosen fine buckets.
-    left = _join(inside, fine_chosen, [*keys, "_b", "_f"], small)
+    left = _join(inside.drop("_total", "_ranks"), fine_chosen, [*keys, "_b", "_f"], small)
     value_running = (Window.partitionBy(*keys, "_b", "_f").orderBy("_v")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hits = (left.withColumn("_before", F.sum("_n").over(value_running) - F.col("_n"))

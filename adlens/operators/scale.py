@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.operators.ranking import ordered_positions
+from adlens.operators.vocab import BROADCAST_WORDS, fits
 
 
 def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -83,10 +84,14 @@ def one_hot(df: DataFrame, known: dict[str, list[str]], fill: str = "missing") -
 
 
 def label_encode(df: DataFrame, column: str, name: str, fill: str = "Unknown") -> DataFrame:
-    """Codes 0, 1, … in sorted order of the values, missing ones as ``fill``."""
+    """Codes 0, 1, … in sorted order of the values, missing ones as ``fill``.
+
+    The code table is broadcast after its size was checked, so a frequent value moves no rows.
+    """
     filled = df.withColumn("_level", F.coalesce(F.col(column).cast("string"), F.lit(fill)))
     codes = ordered_positions(filled.select("_level").distinct(), ["_level"], name=name)
-    return filled.join(codes, "_level").drop("_level")
+    side = F.broadcast(codes) if fits(codes, BROADCAST_WORDS) else codes
+    return filled.join(side, "_level").drop("_level")
 
 
 def tabular_features(df: DataFrame, key: Sequence[str], binary: Sequence[str], numeric: Sequence[str],

@@ -410,10 +410,9 @@ def stream_dedupe(spark, d):
 @query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark, d):
     events = tables.read_table(spark, d, "events")
-    landed = fixtures.landed_table(spark, d, "events", lambda: events.select(
+    path = fixtures.landed_path(spark, d, "events", lambda: events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts")).repartition(4, "event_id"))
-    path = landed.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(landed.schema).parquet(path)
+    stream = spark.readStream.schema("event_id BIGINT, ts TIMESTAMP").parquet(path)
     daily = streams.run_to_memory(streams.daily_counts_stream(stream, "ts"), "daily")
     return daily.select(F.col("day").cast("string").alias("day"), "n")
 

@@ -221,7 +221,7 @@ def collect_one_query(spark, d):
 def price_display(spark, d):
     df = fixtures.listings(spark, d).select(
         "*", F.concat(F.lit("/item/"), "ad_id").alias("canonical_url"), F.lit("NOK").alias("price_currency_code"),
-        fixtures._image_urls(F.col("num_images"), F.col("ad_id")).alias("image_urls"))
+        fixtures.image_urls(F.col("num_images"), F.col("ad_id")).alias("image_urls"))
     return sp.listing_cards(df, BASE).withColumn("ts_ms", F.unix_millis("timestamp")).drop("timestamp")
 
 

@@ -71,7 +71,7 @@ def first_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(df, ["ad_id"], crawl_sequence(df))
 
 
-def _once(spark: SparkSession, sf_dir: str, label: str, build) -> str:
+def landed_path(spark: SparkSession, sf_dir: str, label: str, build) -> str:
     """Write ``build()`` as Parquet once per application and table folder; return its path."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _landed:
@@ -82,10 +82,10 @@ def _once(spark: SparkSession, sf_dir: str, label: str, build) -> str:
 
 
 def landed_table(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
-    return spark.read.parquet(_once(spark, sf_dir, label, build))
+    return spark.read.parquet(landed_path(spark, sf_dir, label, build))
 
 
-def _image_urls(count: Column, ad_id: Column) -> Column:
+def image_urls(count: Column, ad_id: Column) -> Column:
     return F.transform(
         F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
         lambda i: F.concat(F.lit("https://img.example.test/"), ad_id, F.lit("/"), i.cast("string")))
@@ -108,7 +108,7 @@ def _search_doc() -> Column:
                          F.array("brand").alias("values"))).alias("extras"),
         F.when(F.col("has_buy_now"), F.array(F.struct(
             F.lit("fiks_ferdig").alias("id"), F.lit("Fiks ferdig").alias("text")))).alias("labels"),
-        _image_urls(F.col("num_images"), F.col("ad_id")).alias("image_urls"),
+        image_urls(F.col("num_images"), F.col("ad_id")).alias("image_urls"),
         F.unix_millis("timestamp_dt").alias("timestamp"))
 
 
@@ -164,7 +164,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_pages_path(spark: SparkSession, sf_dir: str) -> str:
-    return _once(spark, sf_dir, "search-pages", lambda: _build_search_pages(spark, sf_dir))
+    return landed_path(spark, sf_dir, "search-pages", lambda: _build_search_pages(spark, sf_dir))
 
 
 def _build_item_pages(spark: SparkSession, sf_dir: str, damaged: bool) -> DataFrame:
@@ -180,7 +180,7 @@ def _build_item_pages(spark: SparkSession, sf_dir: str, damaged: bool) -> DataFr
                  F.struct(F.lit("c2").alias("id"), F.col("brand").alias("value"),
                           F.struct(F.lit("c3").alias("id"), F.lit("Torget").alias("value")
                                    ).alias("parent")).alias("parent")).alias("category"),
-        F.transform(_image_urls(F.col("num_images"), F.col("ad_id")),
+        F.transform(image_urls(F.col("num_images"), F.col("ad_id")),
                     lambda u: F.struct(u.alias("uri"))).alias("images"),
         F.struct(F.struct(F.col("coordinates_lat").alias("lat"),
                           F.col("coordinates_lon").alias("lng"),
