@@ -8,10 +8,12 @@ small matrix products are numpy.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from pyspark.sql.types import DoubleType
 from adlens.constants import EMBEDDING_DIM, HIDDEN_DIMS, MAX_SEQUENCE
 from adlens.operators.vocab import PAD_ID
 
+# The scoring function travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCORE_BAND = 16.0     # width of the score bands of the softmax
 
 
@@ -127,29 +132,33 @@ class FrozenNetwork:
                    [(wave(a, b, 0.1 * i), np.zeros(b)) for i, (a, b) in enumerate(zip(dims, dims[1:]))])
 
     def forward(self, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """``ids`` rows x length, ``times`` rows x features -> one number per row."""
-        dim = self.embedding.shape[1]
-        steps = np.arange(ids.shape[1])[:, None]
-        freq = np.exp(np.arange(0, dim, 2) * (-math.log(10_000.0) / dim))
-        places = np.zeros((ids.shape[1], dim))
-        places[:, 0::2] = np.sin(steps * freq)
-        places[:, 1::2] = np.cos(steps * freq[: dim // 2])
-        x = self.embedding[ids] + places
-        raw = np.where(ids == PAD_ID, -np.inf, x @ self.score)
-        top = raw.max(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore"):
-            weight = np.exp(raw - top)
-            weight = weight / weight.sum(axis=1, keepdims=True)
-        pooled = (x * weight[:, :, None]).sum(axis=1)
-        trend = times @ self.time_linear[0] + self.time_linear[1]
-        waves = np.sin(times @ self.time_periodic[0] + self.time_periodic[1])
-        h = pooled + np.concatenate([trend[:, None], waves], axis=1)
-        for i, (w, b) in enumerate(self.layers):
-            h = h @ w + b
-            if i < len(self.layers) - 1:
-                h = (h - h.mean(axis=1, keepdims=True)) / np.sqrt(h.var(axis=1, keepdims=True) + 1e-5)
-                h = np.where(h > 0, h, 0.01 * h)
-        return h[:, 0]
+        return _forward(vars(self), ids, times)
+
+
+def _forward(net: dict, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``ids`` rows x length, ``times`` rows x features -> one number per row."""
+    dim = net["embedding"].shape[1]
+    steps = np.arange(ids.shape[1])[:, None]
+    freq = np.exp(np.arange(0, dim, 2) * (-math.log(10_000.0) / dim))
+    places = np.zeros((ids.shape[1], dim))
+    places[:, 0::2] = np.sin(steps * freq)
+    places[:, 1::2] = np.cos(steps * freq[: dim // 2])
+    x = net["embedding"][ids] + places
+    raw = np.where(ids == PAD_ID, -np.inf, x @ net["score"])
+    top = raw.max(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        weight = np.exp(raw - top)
+        weight = weight / weight.sum(axis=1, keepdims=True)
+    pooled = (x * weight[:, :, None]).sum(axis=1)
+    trend = times @ net["time_linear"][0] + net["time_linear"][1]
+    waves = np.sin(times @ net["time_periodic"][0] + net["time_periodic"][1])
+    h = pooled + np.concatenate([trend[:, None], waves], axis=1)
+    for i, (w, b) in enumerate(net["layers"]):
+        h = h @ w + b
+        if i < len(net["layers"]) - 1:
+            h = (h - h.mean(axis=1, keepdims=True)) / np.sqrt(h.var(axis=1, keepdims=True) + 1e-5)
+            h = np.where(h > 0, h, 0.01 * h)
+    return h[:, 0]
 
 
 def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times: Sequence[str],
@@ -159,14 +168,14 @@ def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times:
     ``ids`` are token lists of at most ``length`` ids (a longer one is an error); a list without
     tokens has no score.  Ids the network does not know count as unknown words.
     """
-    shared = df.sparkSession.sparkContext.broadcast(network)
+    shared = df.sparkSession.sparkContext.broadcast(dict(vars(network)))   # plain arrays
     known = len(network.embedding)
 
     def make():
         net = shared.value
 
         def run(tokens: np.ndarray, features: np.ndarray) -> np.ndarray:
-            return net.forward(tokens.astype(int), features)
+            return _forward(net, tokens.astype(int), features)
         return run
 
     infer = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
