@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adlens.llm import minhash
-from adlens.llm.common import documents
+from adlens.llm import idcodes, linededup, lm, minhash, packing, quality, sharding, tiling, tokencount, tokenizing, warc
+from adlens.llm.common import documents, land
 from adlens.llm.ship import send_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,131 @@ _NEAR_SQL = f"""WITH RECURSIVE W AS (SELECT doc_id, {_WORDS} AS w FROM documents
 @query("op1_minhash_near_dedup", _NEAR_SQL)
 def op1_minhash_near_dedup(spark, d):
     return minhash.near_duplicates(documents(spark, d))
+
+
+# Base32 of the SHA-1: five hexadecimal digits make four characters.
+_WARC_SQL = """WITH P AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+  G AS (SELECT h, max(page_id) AS top FROM P GROUP BY 1),
+  X AS (SELECT h, g, CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS BIGINT) AS v FROM G, range(8) t(g)),
+  B AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((v >> CAST(15 - 5 * k AS INT)) & 31) AS INT), 1), '' ORDER BY g, k) AS b
+    FROM X, range(4) t(k) GROUP BY 1)
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, b AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> top THEN top END AS refers_to
+  FROM P JOIN G USING (h) JOIN B USING (h)"""
+
+
+@query("op2_warc_dictionary", _WARC_SQL)
+def op2_warc_dictionary(spark, d):
+    return warc.archive_round_trip(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+SHARD_NAMES = [f"shard-{i}" for i in range(sharding.SHARDS)]
+_SLOTS = sharding.table_size(sharding.SHARDS)
+
+# One claim per step; the table so far is a list.
+_SHARD_SQL = f"""WITH RECURSIVE D AS (SELECT i,
+    CAST('0x' || substr(md5('offset:shard-' || i), 1, 15) AS BIGINT) % {_SLOTS} AS o,
+    CAST('0x' || substr(md5('skip:shard-' || i), 1, 15) AS BIGINT) % {_SLOTS - 1} + 1 AS k FROM range({sharding.SHARDS}) t(i)),
+  F AS (SELECT CAST(0 AS BIGINT) AS turn, list_transform(range({_SLOTS}), lambda x: CAST(-1 AS BIGINT)) AS owner,
+      (SELECT list(o ORDER BY i) FROM D) AS o, (SELECT list(k ORDER BY i) FROM D) AS k,
+      list_transform(range({sharding.SHARDS}), lambda x: CAST(0 AS BIGINT)) AS step, CAST(-1 AS BIGINT) AS slot
+    UNION ALL SELECT * FROM (
+      SELECT turn + 1, owner[:p] || [s] || owner[p + 2:], o, k, step[:s] || [j + 1] || step[s + 2:], p FROM (
+        SELECT *, (o[s + 1] + j * k[s + 1]) % {_SLOTS} AS p FROM (
+          SELECT *, step[s + 1] + list_position(list_transform(range(step[s + 1], {_SLOTS}),
+              lambda x: owner[(o[s + 1] + x * k[s + 1]) % {_SLOTS} + 1]), -1) - 1 AS j FROM (
+            SELECT *, turn % {sharding.SHARDS} AS s FROM F WHERE turn < {_SLOTS}))))),
+  T AS (SELECT slot, (turn - 1) % {sharding.SHARDS} AS shard FROM F WHERE slot >= 0)
+  SELECT doc_id, CAST(slot AS INT) AS slot, CAST(shard AS INT) AS shard FROM (SELECT doc_id,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {_SLOTS} AS slot FROM documents) JOIN T USING (slot)"""
+
+
+@query("op3_permutation_sharding", _SHARD_SQL)
+def op3_permutation_sharding(spark, d):
+    return sharding.place(documents(spark, d).select("doc_id"), "doc_id", SHARD_NAMES)
+
+
+@query("op4_string_tiling_decontamination")
+def op4_string_tiling_decontamination(spark, d):
+    return tiling.contaminated_pairs(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _split(column: str) -> str:
+    return f"list_filter(regexp_split_to_array({column}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_QUALITY_SQL = f"""WITH T AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  W AS (SELECT doc_id, text, {_split("text")} AS w FROM T),
+  A AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM W),
+  G AS (SELECT doc_id, i, a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM A),
+  R AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS c FROM G WHERE c IS NOT NULL),
+  N AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM R, range(3) t(k) WHERE c > 1 GROUP BY 1),
+  L AS (SELECT doc_id, l, {_split("l")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM T)),
+  J AS (SELECT doc_id, l, len(w) AS n, (right(w[-1], 1) NOT IN ({_quoted(quality.CLOSING)})
+      OR 2 * (length(l) - length(translate(l, '{quality.EMPHASIS}', ''))) > len(w)
+      OR (len(list_filter(w, lambda x: x IN ({_quoted(quality.SEPARATORS)}))) >= 2
+        AND 4 * len(list_filter(w, lambda x: x IN ({_quoted(quality.SEPARATORS)}))) >= len(w))
+      OR {" OR ".join(f"contains({_LOWER.format('l')}, '{p}')" for p in quality.BOILERPLATE)}) AS fails FROM L WHERE len(w) > 0),
+  K AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(n) FILTER (fails), 0) AS lost_words FROM J GROUP BY 1),
+  B AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+      CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words
+    FROM W LEFT JOIN N USING (doc_id) LEFT JOIN K USING (doc_id)),
+  V AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM B)
+  SELECT *, NOT base_failed AND 100 * lost_words <= {quality.LOSS_PERCENT} * n_words AS kept FROM V"""
+
+
+@query("op5_line_quality_rules", _QUALITY_SQL)
+def op5_line_quality_rules(spark, d):
+    return quality.quality_figures(documents(spark, d))
+
+
+@query("op6_line_dedup_alignment")
+def op6_line_dedup_alignment(spark, d):
+    return linededup.remove_repeated_lines(documents(spark, d).select("doc_id", "text", "n_chars"))
+
+
+@query("op7_token_id_codes")
+def op7_token_id_codes(spark, d):
+    folder = idcodes.new_folder(spark)
+    files = land(idcodes.write_ids(documents(spark, d), folder, tokenizing.vocabulary_path(tokenizing.WORD_LEVEL)), "id-files")
+    return idcodes.read_ids(files, folder)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, d):
+    return tokencount.token_counts(documents(spark, d), tokenizing.vocabulary_path(tokencount.VOCABULARY))
+
+
+# The CRC-32 of the digits of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+_SCORE_SQL = f"""WITH D AS (SELECT doc_id, {_CRC} % {lm.FOLDS} = {lm.HELD_OUT} AS held_out, {_WORDS} || [' '] AS w FROM documents),
+  T AS (SELECT doc_id, held_out, unnest(w) AS t, unnest(['  '] || w[:-2]) AS h FROM D),
+  U AS (SELECT t, count(*) AS c FROM T WHERE NOT held_out GROUP BY 1),
+  H AS (SELECT h, count(*) AS ch FROM T WHERE NOT held_out GROUP BY 1),
+  B AS (SELECT h, t, count(*) AS cb FROM T WHERE NOT held_out GROUP BY 1, 2),
+  N AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM U),
+  P AS (SELECT doc_id, held_out, coalesce(c, 0) AS c, coalesce(ch, 0) AS ch, coalesce(cb, 0) AS cb, n, (coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE) AS p
+    FROM T LEFT JOIN U USING (t) LEFT JOIN H USING (h) LEFT JOIN B USING (h, t), N)
+  SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+    round(sum(log10(p)), 6) AS base_score,
+    round(sum(log10(CASE WHEN ch > 0 THEN (cb + {lm.PRIOR} * p) / (ch + {lm.PRIOR}) ELSE p END)), 6) AS score
+  FROM P GROUP BY 1, 2"""
+
+
+@query("op9_backoff_automaton_scores", _SCORE_SQL)
+def op9_backoff_automaton_scores(spark, d):
+    return lm.score_texts(documents(spark, d)).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+@query("op10_sum_of_squares_packing")
+def op10_sum_of_squares_packing(spark, d):
+    return packing.pack(documents(spark, d), tokenizing.vocabulary_path(tokenizing.BYTE_LEVEL))
