@@ -123,7 +123,7 @@ _ANSWER = "block int, part int, gram int, counts binary, tokens bigint, types bi
 
 
 def _ask(order: int, blocks: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table, order)
         rows: list[tuple] = []
         for n in range(1, order + 1):
@@ -139,7 +139,7 @@ def _ask(order: int, blocks: int):
     return run
 
 
-def _sum(key, table: pa.Table) -> pa.Table:
+def _sum(key: tuple, table: pa.Table) -> pa.Table:
     """Totals of the n-grams of one range, handed back to each block in the order it asked."""
     part, gram = key[0].as_py(), key[1].as_py()
     keys = [unsqueeze(k.as_py()) for k in table.column("keys")]

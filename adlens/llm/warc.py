@@ -197,7 +197,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows = []
-                with store.open_input_stream(path) as file:
+                with store.open_input_stream(path, compression=None) as file:
                     for headers, payload in read_records(file):
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         response = headers["WARC-Type"] == "response"
