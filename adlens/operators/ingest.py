@@ -7,19 +7,19 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlens.constants import MAX_PAGES
 
-
-def keep_first(df: DataFrame, keys: Sequence[str], sequence: Column) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], sequence: Column,
+               columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the one with the smallest ``sequence``.
 
     ``min_by`` combines on the map side, so a key with very many copies ships one row per task.
-    NULL keys form one group.  ``sequence`` must be unique for a fixed answer.
+    NULL keys form one group.  ``sequence`` must be unique for a fixed answer.  ``columns`` names what
+    is wanted besides the keys: the optimizer cannot look into the packed row, so only those are shipped.
     """
-    rest = [c for c in df.columns if c not in set(keys)]
+    wanted = [c for c in df.columns if columns is None or c in set(columns) or c in set(keys)]
+    rest = [c for c in wanted if c not in set(keys)]
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), sequence).alias("_row"))
-    return first.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k)
-                          for k in df.columns])
+    return first.select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k) for k in wanted])
 
 
 def without_match(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -37,14 +37,16 @@ def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     return [c for c in required if c not in have]
 
 
-def pages_until_empty(pages: DataFrame, crawl: Sequence[str], max_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages of each crawl before its first empty page, at most ``max_pages``.
+def pages_until_empty(pages: DataFrame, crawl: Sequence[str], max_pages: int | None = None) -> DataFrame:
+    """Pages of each crawl before its first empty page; with ``max_pages`` no later ones than that.
 
     ``pages`` has one row per page with ``page`` and ``n_rows``.  The row counts usually come from
     parsing; placing them by page first lets both uses below read the same exchange, so the pages
     are parsed once.
     """
-    pages = pages.where(F.col("page") <= max_pages).repartition(*crawl, "page")
+    if max_pages is not None:
+        pages = pages.where(F.col("page") <= max_pages)
+    pages = pages.repartition(*crawl, "page")
     first_empty = pages.groupBy(*crawl).agg(
         F.min(F.when(F.col("n_rows") == 0, F.col("page"))).alias("_first_empty"))
     match = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in crawl]

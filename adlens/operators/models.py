@@ -19,7 +19,6 @@ from adlens.sources.tables import require_rows
 
 MODEL_TYPES = ("ridge", "gbt")
 TIME_FEATURE = "timestamp_val"
-DENSE_SOLVER_LIMIT = 4096     # widest problem the normal-equation solver accepts
 
 
 # ---- split -----------------------------------------------------------------------------
@@ -81,23 +80,21 @@ def _feature_stages(train: DataFrame, max_terms: int) -> tuple[list, list[str]]:
     return stages, [f"text__{t}" for t in terms] + [f"time__{TIME_FEATURE}"]
 
 
-def ridge_estimator(train: DataFrame, n_features: int, alpha: float = RIDGE_ALPHA,
+def ridge_estimator(train: DataFrame, alpha: float = RIDGE_ALPHA,
                     label: str = "price_amount", features: str = "features") -> LinearRegression:
     """Ridge with an unpenalised intercept.
 
     Spark divides the loss by the row count and scales the label, so the penalty that equals
-    ``alpha`` in the plain least-squares form is ``alpha * deviation(label) / rows``.  The two
-    solvers scale by different deviations.
+    ``alpha`` in the plain least-squares form is ``alpha * deviation(label) / rows``.  One solver and one
+    penalty serve every width.
     """
-    dense = n_features <= DENSE_SOLVER_LIMIT
-    deviation = F.stddev_pop(label) if dense else F.stddev_samp(label)
-    row = train.agg(deviation.alias("s"), F.count(label).alias("n")).first()
+    row = train.agg(F.stddev_samp(label).alias("s"), F.count(label).alias("n")).first()
     if not row["n"]:
         raise ValueError("no rows to fit on")
     return LinearRegression(
         featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False,
-        regParam=alpha * (row["s"] or 0.0) / row["n"], solver="normal" if dense else "l-bfgs",
-        maxIter=500, tol=1e-9)
+        regParam=alpha * (row["s"] or 0.0) / row["n"], solver="l-bfgs",
+        maxIter=1000, tol=1e-12)
 
 
 def fit_price_model(train: DataFrame, model_type: str = "ridge", max_terms: int = TFIDF_TERMS,
@@ -108,12 +105,12 @@ def fit_price_model(train: DataFrame, model_type: str = "ridge", max_terms: int
     when the error on them no longer falls, keeping the trees up to the best round.
     """
     if model_type not in MODEL_TYPES:
-        raise ValueError(f"Unsupported model_type '{model_type}'")
+        raise ValueError(f"no such model: {model_type!r}; known are {', '.join(MODEL_TYPES)}")
     rows = train.withColumn("price_amount", F.col("price_amount").cast("double"))
     fitted_on = rows if validation is None else rows.where(~F.col(validation))
     stages, names = _feature_stages(fitted_on, max_terms)
     if model_type == "ridge":
-        estimator = ridge_estimator(fitted_on, len(names), **settings)
+        estimator = ridge_estimator(fitted_on, **settings)
         rows = fitted_on
     else:
         options = {**GBT_SETTINGS, "seed": SEED, **settings}
@@ -129,13 +126,16 @@ def regression_metrics(df: DataFrame, label: str = "price_amount",
                        prediction: str = "prediction") -> DataFrame:
     """One row: MAE, RMSE, R² and the number of rows with both values.
 
-    R² comes from moments in one pass: label variance around its mean is ``n * var_pop``.
+    R² comes from moments in one pass: label variance around its mean is ``n * var_pop``.  Labels that do not
+    vary (a single row, too) give 1 for exact predictions, else 0; no rows give NULL.
     """
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     e = y - p
     known = df.where(y.isNotNull() & p.isNotNull())
+    error, spread = F.sum(e * e), F.count("*") * F.var_pop(y)
+    flat = F.when(error == 0, 1.0).when(error > 0, 0.0)
     return known.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-                     (1 - F.sum(e * e) / (F.count("*") * F.var_pop(y))).alias("r2"),
+                     F.coalesce(1 - F.try_divide(error, spread), flat).alias("r2"),
                      F.count("*").alias("n"))
 
 
@@ -156,7 +156,7 @@ def feature_weights(model: PriceModel, spark) -> DataFrame:
     elif hasattr(final, "featureImportances"):
         weights, kind = final.featureImportances, "feature importance"
     else:
-        raise ValueError("Model does not expose coefficients or feature importances.")
+        raise ValueError("the last stage has neither coefficients nor importances")
     rows = [(name, kind, name.split("__", 1)[1], float(w))
             for name, w in zip(model.features, weights.toArray())]
     return spark.createDataFrame(rows, "feature STRING, kind STRING, token STRING, weight DOUBLE")
@@ -175,7 +175,8 @@ def top_tokens(weights: DataFrame, n: int = 10) -> DataFrame:
 def train_and_hold_out(prepared: DataFrame, key: str = "ad_id", test_size: float = 0.2,
                        model_type: str = "ridge", **options) -> tuple[PriceModel, DataFrame]:
     """Fit on the training part; return the model and the test rows with ``prediction``."""
-    require_rows(prepared, "No priced listings available for training.")
     parts = with_split(prepared, key, test_size)
+    require_rows(parts.where(~F.col("is_test")), "the split leaves no listing to train on")
+    require_rows(parts.where("is_test"), "the split leaves no listing to test on")
     model = fit_price_model(parts.where(~F.col("is_test")).drop("is_test"), model_type, **options)
     return model, model.predict(parts.where(F.col("is_test")).drop("is_test"))

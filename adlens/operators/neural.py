@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import cloudpickle
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from adlens.constants import EMBEDDING_DIM, HIDDEN_DIMS, MAX_SEQUENCE
-from adlens.operators.vocab import PAD_ID
+from adlens.operators.vocab import PAD_ID, UNK_ID
 
 # The scoring function travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,10 +51,15 @@ def frozen_embeddings(vocabulary: DataFrame, dim: int) -> DataFrame:
 
 def position_encode(tokens: DataFrame, embeddings: DataFrame, dim: int,
                     encoding: str = "sinusoidal") -> DataFrame:
-    """Add ``vec``: the embedding of ``token_id`` plus the encoding of ``pos``."""
+    """Add ``vec``: the embedding of ``token_id`` plus the encoding of ``pos``.
+
+    A token without a vector of its own gets that of unknown words; every token stays.
+    """
     if encoding not in ("sinusoidal", "none"):
-        raise ValueError(f"Unknown encoding: {encoding}")
-    joined = tokens.join(embeddings, "token_id")
+        raise ValueError(f"no such position encoding: {encoding!r}")
+    unknown = embeddings.where(F.col("token_id") == UNK_ID).agg(F.first("vec").alias("_unknown"))
+    joined = tokens.join(embeddings, "token_id", "left").crossJoin(F.broadcast(unknown)) \
+        .withColumn("vec", F.coalesce("vec", "_unknown")).drop("_unknown")
     if encoding == "none":
         return joined
     return joined.withColumn("vec", F.zip_with(
@@ -68,19 +73,20 @@ def attention_pool(df: DataFrame, group: Sequence[str], vector: str, score: Sequ
     One pass over the rows and no join.  Scores are cut into bands of ``SCORE_BAND``; inside a
     band the exponentials are taken relative to its lower end, so they cannot overflow, and one
     hash aggregate with map-side combine sums them per (group, band).  The few bands of a group
-    are then put on the scale of its highest one.  Rows outside ``mask`` (padding) do not count.
-    ``uniform`` gives the plain mean instead.
+    are then put on the scale of its highest one.  Rows outside ``mask`` (padding) do not count; a group
+    of such rows only has a NULL vector.  ``uniform`` gives the plain mean instead.
     """
     group = list(group)
     dim = len(score)
-    rows = df if mask is None else df.where(mask)
+    counted = F.lit(True) if mask is None else mask
     v = F.col(vector)
     parts = [v.getItem(i).cast("double") for i in range(dim)]
     dot = sum((p * F.lit(float(w)) for p, w in zip(parts[1:], score[1:])), parts[0] * F.lit(float(score[0])))
     places = [f"_x{i}" for i in range(dim)]
     band = F.floor(F.col("_s") / SCORE_BAND)
-    weighted = (rows.select(*group, *[p.alias(n) for n, p in zip(places, parts)],
-                            (F.lit(0.0) if uniform else dot).alias("_s"))
+    # Rows that do not count have no score, hence no band and no weight: all their sums are NULL.
+    weighted = (df.select(*group, *[p.alias(n) for n, p in zip(places, parts)],
+                          F.when(counted, F.lit(0.0) if uniform else dot).alias("_s"))
                 .withColumn("_band", band)
                 .withColumn("_w", F.exp(F.col("_s") - F.col("_band") * SCORE_BAND)))
     banded = weighted.groupBy(*group, "_band").agg(
@@ -90,7 +96,8 @@ def attention_pool(df: DataFrame, group: Sequence[str], vector: str, score: Sequ
     sums = scaled.groupBy(*group).agg(
         F.sum(F.col("_sum") * F.col("_k")).alias("_sum"),
         *[F.sum(F.col(n) * F.col("_k")).alias(n) for n in places])
-    return sums.select(*group, F.array(*[F.col(n) / F.col("_sum") for n in places]).alias("pooled"))
+    return sums.select(*group, F.when(F.col("_sum").isNotNull(), F.array(
+        *[F.col(n) / F.col("_sum") for n in places])).alias("pooled"))
 
 
 def time2vec(inputs: Sequence[Column], linear: Sequence[float], linear_bias: float,
@@ -116,6 +123,38 @@ class FrozenNetwork:
     time_linear: tuple[np.ndarray, float]       # features, bias
     time_periodic: tuple[np.ndarray, np.ndarray]    # features x (dim - 1), biases
     layers: list[tuple[np.ndarray, np.ndarray]]     # (in x out, out)
+    norms: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # scale, shift of each hidden layer
+
+    @classmethod
+    def from_table(cls, weights: DataFrame, dim: int = EMBEDDING_DIM, n_time: int = 2,
+                   hidden: Sequence[int] = tuple(HIDDEN_DIMS)) -> FrozenNetwork:
+        """Weights from rows ``part, row, col, value``.
+
+        Parts: embedding (row = token), score, time_linear, time_linear_bias, time_periodic,
+        time_periodic_bias, and for layer i: weight_i, bias_i, scale_i, shift_i.  A network is held whole by
+        every task that scores with it, so its table is read whole here.  A missing entry is an error, but for
+        the scales (1) and shifts (0).
+        """
+        parts: dict[str, dict[tuple[int, int], float]] = {}
+        for r in weights.select("part", "row", "col", "value").collect():
+            parts.setdefault(r["part"], {})[r["row"], r["col"]] = r["value"]
+
+        def block(name: str, rows: int, cols: int, default: float | None = None) -> np.ndarray:
+            found = parts.get(name, {})
+            if default is None and len(found) != rows * cols:
+                raise ValueError(f"{name} has {len(found)} weights and needs {rows * cols}")
+            out = np.full((rows, cols), 0.0 if default is None else default)
+            for (i, j), value in found.items():
+                out[i, j] = value
+            return out
+
+        words = 1 + max((i for i, _ in parts.get("embedding", {})), default=-1)
+        dims = [dim, *hidden, 1]
+        layers = [(block(f"weight_{i}", a, b), block(f"bias_{i}", 1, b)[0]) for i, (a, b) in enumerate(zip(dims, dims[1:]))]
+        norms = [(block(f"scale_{i}", 1, b, 1.0)[0], block(f"shift_{i}", 1, b, 0.0)[0]) for i, b in enumerate(hidden)]
+        return cls(block("embedding", words, dim), block("score", 1, dim)[0],
+                   (block("time_linear", n_time, 1)[:, 0], float(block("time_linear_bias", 1, 1)[0, 0])),
+                   (block("time_periodic", n_time, dim - 1), block("time_periodic_bias", 1, dim - 1)[0]), layers, norms)
 
     @classmethod
     def from_rule(cls, vocab_size: int, dim: int = EMBEDDING_DIM, n_time: int = 2,
@@ -157,6 +196,8 @@ def _forward(net: dict, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
         h = h @ w + b
         if i < len(net["layers"]) - 1:
             h = (h - h.mean(axis=1, keepdims=True)) / np.sqrt(h.var(axis=1, keepdims=True) + 1e-5)
+            if net["norms"]:
+                h = h * net["norms"][i][0] + net["norms"][i][1]
             h = np.where(h > 0, h, 0.01 * h)
     return h[:, 0]
 
@@ -165,8 +206,9 @@ def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times:
                          length: int = MAX_SEQUENCE, name: str = "score", batch_size: int = 4096) -> DataFrame:
     """Add the network's output.
 
-    ``ids`` are token lists of at most ``length`` ids (a longer one is an error); a list without
-    tokens has no score.  Ids the network does not know count as unknown words.
+    ``ids`` are token lists of at most ``length`` ids; a longer one is an error, and so is an id beyond the
+    network's embedding table, which means that vocabulary and network do not belong together.  A list
+    without tokens has no score.
     """
     shared = df.sparkSession.sparkContext.broadcast(dict(vars(network)))   # plain arrays
     known = len(network.embedding)
@@ -180,9 +222,10 @@ def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times:
 
     infer = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
                               input_tensor_shapes=[[length], [len(times)]])
-    clipped = F.transform(ids, lambda t: F.when(t < known, t).otherwise(1))
+    foreign = F.raise_error(F.lit(f"token id beyond the {known} rows of the embedding table")).cast("bigint")
+    checked = F.transform(ids, lambda t: F.when(t < known, t).otherwise(foreign))
     padded = F.when(F.size(ids) > length, F.raise_error(F.lit(
         f"sequence longer than {length}")).cast("array<bigint>")).otherwise(
-        F.concat(clipped, F.array_repeat(F.lit(PAD_ID).cast("bigint"), length - F.size(ids))))
+        F.concat(checked, F.array_repeat(F.lit(PAD_ID).cast("bigint"), length - F.size(ids))))
     inputs = F.array(*[F.coalesce(F.col(t).cast("double"), F.lit(0.0)) for t in times])
     return df.withColumn(name, F.nanvl(infer(padded, inputs), F.lit(None)))

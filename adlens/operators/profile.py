@@ -26,7 +26,7 @@ def class_share(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
     return (counts.where(F.col(column).isNotNull()).crossJoin(F.broadcast(total))
-            .select(column, "n", (F.col("n") / F.col("_total")).alias("share")))
+            .select(column, "n", F.try_divide("n", "_total").alias("share")))
 
 
 def detection_rate(df: DataFrame, column: str, default: str) -> DataFrame:
@@ -49,12 +49,11 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def boolean_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """True rows and their share, one row per boolean column, fewest first."""
+    """True rows and their share, one row per boolean column, fewest first; no share of no rows."""
     one = df.agg(*[F.count_if(F.col(c)).alias(c) for c in columns], F.count("*").alias("_total"))
     long = one.select("_total", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns])).alias("e"))
-    return long.select("e.column", "e.n", (F.col("e.n") / F.col("_total")).alias("share")
-                       ).orderBy("n", "column")
+    return long.select("e.column", "e.n", F.try_divide("e.n", "_total").alias("share")).orderBy("n", "column")
 
 
 # ---- column profiles -------------------------------------------------------------------
@@ -197,11 +196,15 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def unit_histogram(df: DataFrame, column: str) -> DataFrame:
-    """Rows per whole number from 0 to the maximum, empty ones included."""
+    """Rows per whole number from 0, or a negative minimum, to the maximum, empty ones included.
+
+    The numbers are a distributed range, so a wide one builds no array; their bounds are read first.
+    """
     counts = (df.where(F.col(column).isNotNull())
-              .groupBy(F.col(column).cast("bigint").alias("value")).agg(F.count("*").alias("n")))
-    frame = counts.agg(F.max("value").alias("_top")).where(F.col("_top").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("value"))
+              .groupBy(F.floor(column).cast("bigint").alias("value")).agg(F.count("*").alias("n")))
+    bounds = counts.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+    low, high = (0, -1) if bounds["low"] is None else (min(0, bounds["low"]), bounds["high"])
+    frame = df.sparkSession.range(low, max(low, high + 1)).withColumnRenamed("id", "value")
     return (frame.join(counts, "value", "left")
             .select("value", F.coalesce("n", F.lit(0)).alias("n")).orderBy("value"))
 
@@ -250,11 +253,11 @@ def boxplot_stats(df: DataFrame, group: str, value: str = "price_amount",
 
 
 def median_ratio(df: DataFrame, flag: str, value: str = "price_amount") -> DataFrame:
-    """Median where the flag is true, where it is false, and their ratio."""
+    """Median where the flag is true, where it is false, and their ratio (NULL if the second is 0 or missing)."""
     m = median_by(df.where(F.col(flag).isNotNull()), value, [flag], few_groups=True)
     return m.agg(F.max(F.when(F.col(flag), F.col("median"))).alias("median_true"),
                  F.max(F.when(~F.col(flag), F.col("median"))).alias("median_false")
-                 ).withColumn("ratio", F.col("median_true") / F.col("median_false"))
+                 ).withColumn("ratio", F.try_divide("median_true", "median_false"))
 
 
 # ---- time --------------------------------------------------------------------------------

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.operators.ranking import ordered_positions
-from adlens.operators.vocab import BROADCAST_WORDS, fits
 
 
 def _with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -67,13 +66,12 @@ def minmax_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   constant=0.0)
 
 
-def levels(df: DataFrame, column: str, fill: str = "missing", max_levels: int = 1000) -> list[str]:
-    """Sorted distinct values, for columns of low cardinality; more than ``max_levels`` is an error."""
-    found = (df.select(F.coalesce(F.col(column).cast("string"), F.lit(fill)).alias("v"))
-             .distinct().orderBy("v").limit(max_levels + 1).collect())
-    if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; it is no one-hot column")
-    return [r["v"] for r in found]
+def levels(df: DataFrame, columns: Sequence[str], fill: str = "missing") -> dict[str, list[str]]:
+    """Sorted distinct values of each column, in one pass; they become column names, so the caller sees them all."""
+    found = (df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias("v")) for c in columns])).alias("e"))
+        .select("e.*").distinct().collect())
+    return {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
 
 
 def one_hot(df: DataFrame, known: dict[str, list[str]], fill: str = "missing") -> DataFrame:
@@ -86,12 +84,12 @@ def one_hot(df: DataFrame, known: dict[str, list[str]], fill: str = "missing") -
 def label_encode(df: DataFrame, column: str, name: str, fill: str = "Unknown") -> DataFrame:
     """Codes 0, 1, … in sorted order of the values, missing ones as ``fill``.
 
-    The code table is broadcast after its size was checked, so a frequent value moves no rows.
+    The code table is joined as Spark sees fit: broadcast below its own size limit in bytes, else by value with
+    frequent values split.
     """
     filled = df.withColumn("_level", F.coalesce(F.col(column).cast("string"), F.lit(fill)))
     codes = ordered_positions(filled.select("_level").distinct(), ["_level"], name=name)
-    side = F.broadcast(codes) if fits(codes, BROADCAST_WORDS) else codes
-    return filled.join(side, "_level").drop("_level")
+    return filled.join(codes, "_level").drop("_level")
 
 
 def tabular_features(df: DataFrame, key: Sequence[str], binary: Sequence[str], numeric: Sequence[str],

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from adlens.constants import FLAG_BUY_NOW, FLAG_PRIVATE, FLAG_RETAILER, FLAG_SHIPPING
 from adlens.functions.payload import fenced, first_with, let, payload_queries, search_payload
-from adlens.functions.text import absolute_url, joined, strip
+from adlens.functions.text import absolute_url, joined
 from adlens.operators.ingest import keep_first
 from adlens.schemas import PAGE_METADATA, SEARCH_DOC
 
@@ -158,6 +158,22 @@ def parse_search_pages(pages: DataFrame, keep: Sequence[str] = (), include_raw:
     return flatten_listings(rows, keep, include_raw)
 
 
+def unreadable_pages(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The pages that gave no listing document, with the reason and the size of what was landed.
+
+    ``collect_listings`` has no row for them; a caller that must account for every page reads this beside it.
+    """
+    return parsed.where(F.col("parse_error").isNotNull()).select(
+        *keep, "parse_error", F.coalesce(F.length("html"), F.lit(0)).alias("html_chars"))
+
+
+def open_fields(raw: Column, known: Sequence[str]) -> Column:
+    """Fields of an object beyond the ``known`` ones, as name -> JSON text."""
+    fields = F.try_variant_get(raw, "$", "map<string,variant>")
+    rest = F.map_filter(fields, lambda k, v: ~k.isin(*known))
+    return F.transform_values(rest, lambda k, v: F.to_json(v))
+
+
 def collect_listings(pages: DataFrame, query: str | None = None, max_pages: int | None = None,
                      include_raw: bool = False) -> DataFrame:
     """All listings of a query (or of every query), one row per ad: its first sighting.
@@ -198,14 +214,13 @@ def listing_cards(listings: DataFrame, base: str, id_column: str = "ad_id",
                   title_column: str = "heading") -> DataFrame:
     """Display form of a listing: text id, absolute address, price text, first image, UTC time."""
     amount = F.col("price_amount")
-    number = F.when(amount == F.floor(amount), F.floor(amount).cast("string")).otherwise(
-        amount.cast("string"))
+    # Through a decimal: a double of ten million and more would be shown with an exponent.
+    exact = F.rtrim(amount.cast("decimal(30,8)").cast("string"), F.lit("0"))
+    number = F.when(amount == F.floor(amount), F.floor(amount).cast("string")).otherwise(exact)
     return listings.select(
         F.col(id_column).cast("string").alias("id"), F.col(title_column).alias("title"),
         absolute_url(F.col("canonical_url"), base).alias("url"), "location",
-        F.coalesce(strip(F.concat_ws(" ", number, "price_currency_code")),
-                   F.lit("N/A")).alias("_shown"),
         F.when(amount.isNull(), "N/A").otherwise(
             F.concat_ws(" ", number, "price_currency_code")).alias("price_display"),
         F.try_element_at("image_urls", F.lit(1)).alias("image_url"),
-        F.col("timestamp_dt").alias("timestamp")).drop("_shown")
+        F.col("timestamp_dt").alias("timestamp"))

@@ -12,7 +12,6 @@ from adlens.functions.text import normalise_title, words
 from adlens.operators.ranking import ordered_positions
 
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 2
-BROADCAST_WORDS = 1_000_000     # about 60 MB as a hash table
 
 
 def title_words(text: Column) -> Column:
@@ -38,15 +37,9 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             .groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word"))
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; looks at no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def _with_ids(tokens: DataFrame, vocabulary: DataFrame, broadcast_limit: int) -> DataFrame:
-    """Look up ``word``.  The vocabulary is broadcast after its size was checked, else joined by word."""
-    side = F.broadcast(vocabulary) if fits(vocabulary, broadcast_limit) else vocabulary
-    return tokens.join(side, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
+def _with_ids(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Look up ``word``: broadcast if the vocabulary is below Spark's size limit in bytes, else by word."""
+    return tokens.join(vocabulary, "word", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
 
 
 def _content(text: str, normalise: bool) -> Column:
@@ -54,19 +47,18 @@ def _content(text: str, normalise: bool) -> Column:
 
 
 def token_rows(df: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame,
-               normalise: bool = False, broadcast_limit: int = BROADCAST_WORDS) -> DataFrame:
+               normalise: bool = False) -> DataFrame:
     """``keys, pos, token_id``: one row per word, unknown words as 1.
 
-    A vocabulary of at most ``broadcast_limit`` words is broadcast, so the tokens are not shuffled
-    by word; beyond that the frequent words are split by the adaptive skew join.  Texts without
-    words give no row.
+    A vocabulary that Spark broadcasts (by its size in bytes) leaves the tokens where they are; beyond that
+    the frequent words are split by the adaptive skew join.  Texts without words give no row.
     """
     tokens = df.select(*keys, F.posexplode(_content(text, normalise)).alias("pos", "word"))
-    return _with_ids(tokens, vocabulary, broadcast_limit).select(*keys, "pos", "token_id")
+    return _with_ids(tokens, vocabulary).select(*keys, "pos", "token_id")
 
 
 def encode_tokens(df: DataFrame, keys: Sequence[str], text: str, vocabulary: DataFrame,
-                  normalise: bool = False, broadcast_limit: int = BROADCAST_WORDS) -> DataFrame:
+                  normalise: bool = False) -> DataFrame:
     """``keys, ids``: the token ids of each text in order; ``keys`` must identify a row.
 
     The texts are placed by key before they are split into words, so with a broadcast vocabulary
@@ -74,7 +66,7 @@ def encode_tokens(df: DataFrame, keys: Sequence[str], text: str, vocabulary: Dat
     """
     placed = df.select(*keys, text).repartition(*keys)
     tokens = placed.select(*keys, F.posexplode_outer(_content(text, normalise)).alias("pos", "word"))
-    lists = _with_ids(tokens, vocabulary, broadcast_limit).groupBy(*keys).agg(F.sort_array(F.collect_list(
+    lists = _with_ids(tokens, vocabulary).groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_t"))
     return lists.select(*keys, F.transform("_t", lambda t: t["token_id"]).alias("ids"))
 

@@ -541,6 +541,28 @@ def default_title_rules(spark, d):
         "ad_id", "seq_part", "seq_supp", "item_category", "brand_from_title", "condition")
 
 
+# Titles made of words that the rules know, put together by key; several hold words of two rules.
+_THINGS = ["Fender Stratocaster", "gibson les paul", "Western dreadnought", "spansk nylon", "Jazz bass", "Marshall combo", "rørforsterker",
+           "Boss katana", "Strymon delay pedal", "gitar strenger", "notebok", "Lærebok med noter", "ukulele", "banjo", "Line 6 looper",
+           "Harley Benton SG", "kassegitar", "electro-harmonix fuzz", "tc electronic reverb", "bøker og dvd", "kabel og jack", "orange stack"]
+_STATES = ["", "ny", "pent brukt", "brukt", "defekt, til deler", "vintage 1972", "gammel men velholdt", "selges billig", "splitter ny 2021",
+           "second hand", "samleobjekt", "used", "uåpnet"]
+_TITLED_PARTS = (f"concat(element_at(array({', '.join(repr(x) for x in _THINGS)}), CAST(p_partkey % {len(_THINGS)} + 1 AS INT)), ' ', "
+                 f"element_at(array({', '.join(repr(x) for x in _STATES)}), CAST(p_partkey % {len(_STATES)} + 1 AS INT)))")
+_TITLED_PARTS_SQL = _TITLED_PARTS.replace("element_at(array(", "list_extract(list_value(")
+
+
+@query("rule_titles", f"""WITH X AS (SELECT p_partkey, {_TITLED_PARTS_SQL} AS heading FROM part)
+  SELECT p_partkey, heading, {_rule_sql("heading", CATEGORY_RULES, DEFAULT_CATEGORY)} AS item_category,
+  {_keyword_sql("heading", BRANDS, DEFAULT_BRAND)} AS brand_from_title,
+  {_rule_sql("heading", CONDITION_RULES, DEFAULT_CONDITION)} AS condition, {YEAR_SQL} AS has_year_in_title FROM X""")
+def rule_titles(spark, d):
+    """The real rule tables on titles in which every category, condition and many brands occur."""
+    titles = tables.read_table(spark, d, "part").select("p_partkey", F.expr(_TITLED_PARTS).alias("heading"))
+    return derive.with_title_features(titles).select("p_partkey", "heading", "item_category", "brand_from_title", "condition",
+                                                     "has_year_in_title")
+
+
 @query("title_len_words", f"""{L} SELECT ad_id, seq_part, seq_supp, length(heading) AS title_len, {WORDS_SQL} AS title_word_count
   FROM L""")
 def title_len_words(spark, d):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from adlens.constants import (BINARY_FEATURES, CATEGORICAL_FEATURES, EMBEDDING_DIM, HIDDEN_DIMS, SEED,
-                              TFIDF_TERMS, VOCAB_LIMIT)
+                              TFIDF_TERMS)
 from adlens.operators import models, neural, prepare, scale, tfidf, vocab
 from adlens.plans.analysis import histogram_sql, rounded, scope
 from adlens.plans.jobs import evaluate_price_model, train_price_model
@@ -156,7 +156,7 @@ _ONE_HOT_SQL = ", ".join([f"CAST(trade_type = '{t}' AS INT) AS \"trade_type_{t}\
 
 
 def _levels(df):
-    return {c: scale.levels(df, c) for c in CATEGORICAL_FEATURES}
+    return scale.levels(df, CATEGORICAL_FEATURES)
 
 
 @query("one_hot", f"{L} SELECT {_KEYS}, {_ONE_HOT_SQL} FROM L")
@@ -384,27 +384,28 @@ def time2vec(spark, d):
 
 @query("score_frozen_network")
 def score_frozen_network(spark, d):
-    """Whole network over the titles and posting times of all ads."""
-    ads = fixtures.first_listings(spark, d)
+    """Whole network over the titles and posting times of all ads; the embedding has a row for every word."""
+    ads = fixtures.landed_table(spark, d, "titled-ads", lambda: fixtures.first_listings(spark, d, ["heading", "timestamp_dt"]))
     words = fixtures.landed_table(spark, d, "title-vocabulary", lambda: vocab.fit_vocabulary(ads, "heading"))
-    if not vocab.fits(words, VOCAB_LIMIT):
-        raise ValueError("the vocabulary outgrows the network's embedding table")
-    network = neural.FrozenNetwork.from_rule(VOCAB_LIMIT, EMBEDDING_DIM, 2, HIDDEN_DIMS)
+    network = neural.FrozenNetwork.from_rule(words.count(), EMBEDDING_DIM, 2, HIDDEN_DIMS)
     ids = vocab.encode_tokens(ads, ["ad_id"], "heading", words)
     seconds = prepare.epoch_seconds(ads, "timestamp_dt")
     times = scale.minmax(ads.select("ad_id", "timestamp_dt"), {"posted": seconds, "age": -seconds})
-    scored = neural.score_frozen_network(ids.join(times, "ad_id"), network, "ids", ["posted", "age"], length=16)
+    scored = neural.score_frozen_network(ids.join(times, "ad_id"), network, "ids", ["posted", "age"])
     return scored.select("ad_id", "score")
 
 
 # ---- streams -----------------------------------------------------------------------------
 
-@query("stream_dedupe", f"""{P}, F AS (SELECT *, row_number() OVER (PARTITION BY ad_id ORDER BY search_query, position) AS rn FROM P)
-  SELECT DISTINCT ad_id FROM F""")
+@query("stream_dedupe", f"""{P}, F AS (SELECT *, row_number() OVER (PARTITION BY ad_id ORDER BY search_query, position)
+    AS rn FROM P) SELECT ad_id, search_query, heading, location, price_amount, is_promoted, num_images,
+  CAST(page_no + 1 AS INT) AS page_current, organisation_name FROM F WHERE rn = 1""")
 def stream_dedupe(spark, d):
+    """The stream gives what ``collect_listings`` gives, row for row."""
     pages = streams.page_stream(spark, fixtures.search_pages_path(spark, d))
-    written = streams.run_to_table(streams.first_sightings(pages), "sightings")
-    return streams.merge_sightings(written).select("ad_id")
+    return streams.merge_sightings(streams.run_sightings(pages, "sightings")).select(
+        "ad_id", "search_query", "heading", "location", "price_amount", "is_promoted", "num_images",
+        "page_current", "organisation_name")
 
 
 @query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -413,7 +414,7 @@ def stream_daily_counts(spark, d):
     path = fixtures.landed_path(spark, d, "events", lambda: events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts")).repartition(4, "event_id"))
     stream = spark.readStream.schema("event_id BIGINT, ts TIMESTAMP").parquet(path)
-    daily = streams.run_to_memory(streams.daily_counts_stream(stream, "ts"), "daily")
+    daily = streams.run_updates(streams.daily_counts_stream(stream, "ts"), "daily", ["day"])
     return daily.select(F.col("day").cast("string").alias("day"), "n")
 
 

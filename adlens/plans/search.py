@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlens.functions.payload import (first_with, payload_queries, script_blobs, search_payload,
+from adlens.constants import MAX_PAGES
+from adlens.functions.payload import (first_with, payload_queries, script_blobs, script_bodies, search_payload,
                                       tolerant_base64)
 from adlens.functions.text import absolute_url
 from adlens.operators import ingest, search_pages as sp
@@ -194,6 +195,42 @@ def page_metadata(spark, d):
                                   "total_match_count", "total_group_count")
 
 
+@query("search_quarantine", f"""{P}, G AS (SELECT search_query, range_no, page, last_page FROM P GROUP BY ALL),
+  A AS (SELECT search_query, range_no, page FROM G UNION ALL
+    SELECT DISTINCT search_query, CAST(last_page // 50 AS INT), CAST(last_page % 50 + 1 AS INT) FROM G WHERE last_page % 50 <> 0)
+  SELECT search_query, range_no, page, CASE WHEN page % 7 = 5 THEN 'no docs' ELSE 'no payload' END AS parse_error,
+    CASE page % 7 WHEN 3 THEN 80 WHEN 5 THEN 37 ELSE 0 END AS html_chars FROM A WHERE page % 7 IN (3, 5, 6)""")
+def search_quarantine(spark, d):
+    """Every landed page that gives no documents, and why."""
+    return sp.unreadable_pages(sp.parse_pages(fixtures.damaged_search_pages(spark, d)), PAGE_KEYS)
+
+
+@query("page_scripts", r"""WITH S AS (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages)
+  SELECT page_id, len(s) AS n_scripts, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::BIGINT AS script_chars,
+    md5(array_to_string(s, '|')) AS digest FROM S""")
+def page_scripts(spark, d):
+    """Script bodies of the crawled pages as they are given."""
+    found = tables.read_table(spark, d, "pages").select("page_id", script_bodies(F.col("html")).alias("s"))
+    chars = F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+    return found.select("page_id", F.size("s").cast("bigint").alias("n_scripts"), chars.alias("script_chars"),
+                        F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+_DECLARED = ["ad_id", "heading", "price", "image_urls", "extras", "labels", "flags", "coordinates"]
+
+
+@query("open_fields", f"""{P}, E AS (SELECT search_query, range_no, page, pos, 'location' AS field, '"' || location || '"' AS value FROM P
+    UNION ALL SELECT search_query, range_no, page, pos, 'trade_type', '"' || trade_type || '"' FROM P
+    UNION ALL SELECT search_query, range_no, page, pos, 'organisation_name', '"' || organisation_name || '"' FROM P
+    UNION ALL SELECT search_query, range_no, page, pos, 'canonical_url', '"/item/' || ad_id || '"' FROM P
+    UNION ALL SELECT search_query, range_no, page, pos, 'timestamp', CAST(epoch_ms(timestamp_dt) AS VARCHAR) FROM P)
+  SELECT * FROM E WHERE value IS NOT NULL""")
+def open_fields(spark, d):
+    """Fields of a document that a caller has not declared, by name."""
+    rows = sp.explode_listings(sp.parse_pages(fixtures.search_pages(spark, d)), PAGE_KEYS, include_raw=True)
+    return rows.select(*PAGE_KEYS, "pos", F.explode(sp.open_fields(F.col("raw"), _DECLARED)).alias("field", "value"))
+
+
 @query("collect_listings", f"""{P}, F AS (SELECT *, row_number() OVER (PARTITION BY ad_id ORDER BY search_query, position)
     AS rn FROM P) SELECT ad_id, search_query, heading, location, price_amount, is_promoted, num_images,
   CAST(page_no + 1 AS INT) AS page_current, organisation_name FROM F WHERE rn = 1""")
@@ -212,14 +249,18 @@ def collect_one_query(spark, d):
     return rows.select("ad_id", "heading", "price_amount", same.alias("has_raw"))
 
 
-@query("price_display", f"""{L} SELECT ad_id AS id, heading AS title, concat('{BASE}/item/', ad_id) AS url, location,
+# Every fifth price becomes one of tens of millions, some with a fraction.
+_LARGE = "CASE WHEN seq_part % 5 = 0 THEN floor(price_amount) * 1000 + 10000000.5 WHEN seq_part % 5 = 1 THEN floor(price_amount) * 100000 ELSE price_amount END"
+
+
+@query("price_display", f"""{L}, X AS (SELECT * REPLACE ({_LARGE} AS price_amount) FROM L) SELECT ad_id AS id, heading AS title, concat('{BASE}/item/', ad_id) AS url, location,
   CASE WHEN price_amount IS NULL THEN 'N/A' WHEN price_amount = floor(price_amount)
     THEN concat(CAST(CAST(price_amount AS BIGINT) AS VARCHAR), ' NOK')
-    ELSE concat(CAST(price_amount AS VARCHAR), ' NOK') END AS price_display,
+    ELSE concat(rtrim(CAST(CAST(price_amount AS DECIMAL(30, 8)) AS VARCHAR), '0'), ' NOK') END AS price_display,
   CASE WHEN num_images > 0 THEN concat('https://img.example.test/', ad_id, '/1') END AS image_url,
-  epoch_ms(timestamp_dt) AS ts_ms FROM L""")
+  epoch_ms(timestamp_dt) AS ts_ms FROM X""")
 def price_display(spark, d):
-    df = fixtures.listings(spark, d).select(
+    df = fixtures.listings(spark, d).withColumn("price_amount", F.expr(_LARGE)).select(
         "*", F.concat(F.lit("/item/"), "ad_id").alias("canonical_url"), F.lit("NOK").alias("price_currency_code"),
         fixtures.image_urls(F.col("num_images"), F.col("ad_id")).alias("image_urls"))
     return sp.listing_cards(df, BASE).withColumn("ts_ms", F.unix_millis("timestamp")).drop("timestamp")
@@ -260,13 +301,13 @@ def price_cursor(spark, d):
   FROM G""")
 def pages_until_empty(spark, d):
     summary = sp.page_summary(sp.parse_pages(fixtures.search_pages(spark, d)), PAGE_KEYS)
-    return ingest.pages_until_empty(summary.select(*PAGE_KEYS, "n_rows"), ["search_query", "range_no"])
+    return ingest.pages_until_empty(summary.select(*PAGE_KEYS, "n_rows"), ["search_query", "range_no"], MAX_PAGES)
 
 
 @query("dedupe_keep_first", f"""{D} SELECT ad_id, search_query, heading, price_amount, seq_part, seq_supp FROM D""")
 def dedupe_keep_first(spark, d):
-    return fixtures.first_listings(spark, d).select(
-        "ad_id", "search_query", "heading", "price_amount", "seq_part", "seq_supp")
+    columns = ["search_query", "heading", "price_amount", "seq_part", "seq_supp"]
+    return fixtures.first_listings(spark, d, columns).select("ad_id", *columns)
 
 
 @query("price_asc_pages", f"""{L} SELECT search_query, ad_id, seq_part, seq_supp,

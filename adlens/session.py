@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,10 @@ STREAM_SETTINGS = {
 }
 
 
+# Applications whose scratch folder is removed when they end.
+_cleaned: set[str] = set()
+
+
 def build_session(app_name: str = "adlens", master: str | None = None,
                   settings: dict[str, str] | None = None) -> SparkSession:
     """Session with the package's settings; ``settings`` wins over them."""
@@ -42,9 +45,10 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else a folder in the warehouse.
 
-    Only a local session may fall back to a temporary folder.
+    The warehouse of a session on one machine is a local folder as well; on a cluster it must be a shared one,
+    so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,17 +56,31 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _on_one_machine(spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="adlens-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def _on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Make a folder that the driver's file system removes when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder; nothing is created yet."""
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/adlens/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_dir(spark)}/adlens/{app}"
+    if app not in _cleaned:
+        _cleaned.add(app)
+        _delete_at_exit(spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

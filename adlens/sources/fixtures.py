@@ -65,10 +65,10 @@ def crawl_sequence(df: DataFrame) -> Column:
                     *[c for c in CRAWL_ORDER if c != "price_missing"])
 
 
-def first_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ad: its first sighting in the crawl."""
+def first_listings(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """One row per ad: its first sighting in the crawl; ``columns`` are what is needed besides ``ad_id``."""
     df = listings(spark, sf_dir)
-    return keep_first(df, ["ad_id"], crawl_sequence(df))
+    return keep_first(df, ["ad_id"], crawl_sequence(df), columns)
 
 
 def landed_path(spark: SparkSession, sf_dir: str, label: str, build) -> str:
@@ -158,6 +158,14 @@ def _build_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         html.alias("html"))
 
 
+def damaged_search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed search pages with some payloads cut short, without documents, or missing, by page number."""
+    cut = F.when(F.col("page") % 7 == 3, F.substring("html", 1, 80)).when(
+        F.col("page") % 7 == 5, F.lit('<script>eyJxdWVyaWVzIjpbXX0=</script>')).when(F.col("page") % 7 == 6, None)
+    return search_pages(spark, sf_dir).withColumn("html", F.when(F.col("page") % 7 < 3, F.col("html")).when(
+        F.col("page") % 7 == 4, F.col("html")).otherwise(cut))
+
+
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search pages, 50 ads each, in price ranges of at most 50 pages."""
     return landed_table(spark, sf_dir, "search-pages", lambda: _build_search_pages(spark, sf_dir))

@@ -1,14 +1,22 @@
-"""Streaming forms: page ingest with first sightings, and running daily counts."""
+"""Streaming forms: page ingest with first sightings, and running daily counts.
+
+Every micro-batch is written to a folder of its own number, so a batch that is run again replaces itself.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from adlens.operators.ingest import keep_first
 from adlens.operators.search_pages import parse_search_pages
 from adlens.session import ensure_utc, scratch_path
 
+_PLACE = ["_query", "_range", "_page"]
+
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Stream of landed search pages."""
@@ -19,48 +27,54 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path)
 
 
-def first_sightings(pages: DataFrame, delay: str = "10 days") -> DataFrame:
-    """Listing rows of newly landed pages, an ad seen again within ``delay`` dropped.
+def _run_batches(stream: DataFrame, label: str, mode: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Process all that has landed; return the table of all batches, with the number of each as ``_batch``."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, label)
+
+    def write(batch: DataFrame, number: int) -> None:
+        prepare(batch).write.mode("overwrite").parquet(f"{out}/_batch={number}")
 
-    State is bounded by the watermark.  An ad that comes back later is emitted again, so the
-    table merge (``merge_sightings``) keeps the first one per ad.
+    query = (stream.writeStream.foreachBatch(write).outputMode(mode)
+             .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = prepare(spark.createDataFrame([], stream.schema)).schema.add("_batch", LongType())
+    if not query.recentProgress:  # nothing has landed
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
+def run_sightings(pages: DataFrame, label: str) -> DataFrame:
+    """Listing rows of newly landed pages, of each batch the first sighting of every ad.
+
+    No state is kept: an ad that comes back in a later batch is written again, and ``merge_sightings`` decides
+    over all batches by place in the crawl, not by time of arrival.
     """
-    keep = ["_query", "_range", "_page", "fetched_at"]
     named = pages.withColumnsRenamed({"search_query": "_query", "range_no": "_range", "page": "_page"})
-    rows = parse_search_pages(named.withWatermark("fetched_at", delay), keep)
-    return rows.dropDuplicatesWithinWatermark(["ad_id"])
 
+    def first_of_batch(batch: DataFrame) -> DataFrame:
+        return keep_first(parse_search_pages(batch, _PLACE), ["ad_id"], F.struct(*_PLACE, "pos"))
 
-def merge_sightings(rows: DataFrame) -> DataFrame:
-    """One row per ad over all that the stream has written: first in crawl order."""
-    keep = ["_query", "_range", "_page"]
-    return keep_first(rows, ["ad_id"], F.struct(*keep, "pos")).drop(*keep, "pos")
+    return _run_batches(named, label, "append", first_of_batch)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process all that has landed, write Parquet below the shared folder, return that table."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
-    query = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("path", out).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def merge_sightings(rows: DataFrame) -> DataFrame:
+    """One row per ad over all that the stream has written: first in crawl order."""
+    return keep_first(rows, ["ad_id"], F.struct(*_PLACE, "pos")).drop(*_PLACE, "pos", "_batch")
 
 
 def daily_counts_stream(events: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Rows per day kept up to date; days older than the watermark are closed."""
+    """Rows per day kept up to date; days older than the watermark are closed and leave the state."""
     return (events.withWatermark(ts, delay)
             .groupBy(F.window(ts, "1 day")).agg(F.count("*").alias("n"))
             .select(F.col("window.start").cast("date").alias("day"), "n"))
 
 
-def run_to_memory(stream: DataFrame, label: str) -> DataFrame:
-    """Run a small aggregate (one row per day) to the end and return its current state."""
-    spark = stream.sparkSession
-    name = f"{label}_{scratch_path(spark, 'q').rsplit('-', 1)[1]}"
-    query = (stream.writeStream.format("memory").queryName(name).outputMode("complete")
-             .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.table(name)
+def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregate in update mode into a table of changes and return the latest row of each key.
+
+    State is bounded by the stream's watermark: a row later than that changes nothing.
+    """
+    changes = _run_batches(stream, label, "update", lambda batch: batch)
+    return keep_first(changes, keys, -F.col("_batch")).drop("_batch")

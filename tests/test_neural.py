@@ -25,7 +25,7 @@ def test_attention_pool(spark):
         assert got[g] == pytest.approx(list(softmax_pool(m, np.array(score))))
         assert mean[g] == pytest.approx(list(m.mean(0)))
     masked = neural.attention_pool(df, ["g"], "e", score, mask=F.col("g") == "one").collect()
-    assert [r.g for r in masked] == ["one"]
+    assert {r.g: r.pooled is None for r in masked} == {"one": False, "hot": True, None: True}
 
 
 def test_position_encode(spark):
@@ -39,7 +39,9 @@ def test_position_encode(spark):
         want = [f(a) for f, a in zip((math.sin, math.cos) * 2, angles)]
         assert np.subtract(got[pos], plain[pos]) == pytest.approx(want)
     assert plain[2] == [0.0] * 4
-    with pytest.raises(ValueError, match="Unknown encoding"):
+    foreign = spark.createDataFrame([(1, 0, 77)], "id INT, pos INT, token_id BIGINT")
+    assert neural.position_encode(foreign, table, 4, "none").first().vec == plain[1]
+    with pytest.raises(ValueError, match="no such position encoding"):
         neural.position_encode(tokens, table, 4, "learned")
 
 
@@ -64,13 +66,15 @@ def plain_forward(net, ids, times):
         h = h @ w + b
         if i < len(net.layers) - 1:
             h = (h - h.mean()) / math.sqrt(h.var() + 1e-5)
+            if net.norms:
+                h = h * net.norms[i][0] + net.norms[i][1]
             h = np.maximum(h, 0.01 * h)
     return h[0]
 
 
 def test_score_frozen_network(spark):
     net = neural.FrozenNetwork.from_rule(20, dim=8, hidden=(6, 5))
-    rows = [(1, [2, 3, 4], 0.1, 0.9), (2, [5], 0.4, 0.2), (3, [], 0.5, 0.5), (4, [19, 99, 3, 2, 2], 1.0, None)]
+    rows = [(1, [2, 3, 4], 0.1, 0.9), (2, [5], 0.4, 0.2), (3, [], 0.5, 0.5), (4, [19, 1, 3, 2, 2], 1.0, None)]
     df = spark.createDataFrame(rows, "id INT, ids ARRAY<BIGINT>, a DOUBLE, b DOUBLE").repartition(3)
     got = {r.id: r.score for r in neural.score_frozen_network(df, net, "ids", ["a", "b"], length=6).collect()}
     assert got[1] == pytest.approx(plain_forward(net, [2, 3, 4], [0.1, 0.9]))
@@ -79,3 +83,23 @@ def test_score_frozen_network(spark):
     assert got[4] == pytest.approx(plain_forward(net, [19, 1, 3, 2, 2], [1.0, 0.0]))
     with pytest.raises(Exception, match="longer than 4"):
         neural.score_frozen_network(df, net, "ids", ["a", "b"], length=4).collect()
+    foreign = spark.createDataFrame([(1, [2, 20], 0.1, 0.2)], "id INT, ids ARRAY<BIGINT>, a DOUBLE, b DOUBLE")
+    with pytest.raises(Exception, match="beyond the 20 rows"):
+        neural.score_frozen_network(foreign, net, "ids", ["a", "b"], length=6).collect()
+
+
+def test_weights_from_a_table_and_a_long_title(spark):
+    """Every part of the network from rows, layer-norm scale and shift included; 100 tokens fit."""
+    rng = np.random.default_rng(2)
+    shapes = {"embedding": (30, 8), "score": (1, 8), "time_linear": (2, 1), "time_linear_bias": (1, 1), "time_periodic": (2, 7),
+              "time_periodic_bias": (1, 7), "weight_0": (8, 6), "bias_0": (1, 6), "scale_0": (1, 6), "shift_0": (1, 6),
+              "weight_1": (6, 1), "bias_1": (1, 1)}
+    rows = [(part, i, j, float(rng.normal())) for part, (a, b) in shapes.items() for i in range(a) for j in range(b)]
+    table = spark.createDataFrame(rows, "part STRING, row INT, col INT, value DOUBLE")
+    net = neural.FrozenNetwork.from_table(table, dim=8, hidden=(6,))
+    ids = [2 + k % 28 for k in range(100)]
+    df = spark.createDataFrame([(ids, 0.3, 0.6)], "ids ARRAY<BIGINT>, a DOUBLE, b DOUBLE")
+    got = neural.score_frozen_network(df, net, "ids", ["a", "b"]).first().score
+    assert got == pytest.approx(plain_forward(net, ids, [0.3, 0.6]))
+    with pytest.raises(ValueError, match="bias_0"):
+        neural.FrozenNetwork.from_table(table.where("part <> 'bias_0'"), dim=8, hidden=(6,))

@@ -142,3 +142,20 @@ def test_median_ratio(spark):
     df = spark.createDataFrame([(True, 10.0), (True, 30.0), (False, 5.0), (None, 99.0)], "f BOOLEAN, price_amount DOUBLE")
     assert tuple(profile.median_ratio(df, "f").first()) == (20.0, 5.0, 4.0)
     assert profile.class_share(df.select(F.col("f")), "f").where("f").first()["share"] == 0.5
+
+
+def test_edge_answers(spark):
+    """Empty tables, a median of zero, negative whole numbers, and labels that do not vary."""
+    from adlens.operators.models import regression_metrics
+    empty = spark.createDataFrame([], "a BOOLEAN, v INT")
+    assert [tuple(r) for r in profile.boolean_counts(empty, ["a"]).collect()] == [("a", 0, None)]
+    assert profile.class_share(empty, "a").collect() == []
+    assert profile.unit_histogram(empty, "v").collect() == []
+    zero = spark.createDataFrame([(True, 4.0), (False, 0.0)], "f BOOLEAN, price_amount DOUBLE")
+    assert tuple(profile.median_ratio(zero, "f").first()) == (4.0, 0.0, None)
+    below = spark.createDataFrame([(-2,), (0,), (1,), (1,)], "v INT")
+    assert [tuple(r) for r in profile.unit_histogram(below, "v").collect()] == [(-2, 1), (-1, 0), (0, 1), (1, 2)]
+    schema = "price_amount DOUBLE, prediction DOUBLE"
+    r2 = lambda rows: regression_metrics(spark.createDataFrame(rows, schema)).first().r2
+    assert r2([(5.0, 5.0), (5.0, 5.0)]) == 1.0 and r2([(5.0, 4.0), (5.0, 5.0)]) == 0.0
+    assert r2([(3.0, 3.0)]) == 1.0 and r2([(3.0, 2.0)]) == 0.0 and r2([]) is None

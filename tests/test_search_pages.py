@@ -129,3 +129,28 @@ def test_page_price_max_ignores_promoted_and_missing(spark, page):
     df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page INT, html STRING")
     got = {r.page: r.page_max for r in sp.page_price_max(sp.parse_pages(df), ["page"]).collect()}
     assert got == {0: 7.0, 1: None}
+
+
+def test_prices_are_never_shown_with_an_exponent(spark):
+    rows = [(12345678.5,), (98765432.0,), (1e12,), (0.5,), (100.0,), (None,), (1234567890.25,)]
+    df = spark.createDataFrame(rows, "price_amount DOUBLE").selectExpr(
+        "'1' AS ad_id", "'t' AS heading", "'/i' AS canonical_url", "'o' AS location", "price_amount",
+        "'NOK' AS price_currency_code", "array() AS image_urls", "CAST(NULL AS TIMESTAMP) AS timestamp_dt")
+    assert sorted(r.price_display for r in sp.listing_cards(df, "b").collect()) == sorted(
+        ["12345678.5 NOK", "98765432 NOK", "1000000000000 NOK", "0.5 NOK", "100 NOK", "N/A", "1234567890.25 NOK"])
+
+
+def test_more_than_fifty_landed_pages(spark):
+    df = spark.range(1, 61).selectExpr("'a' AS q", "CAST(id AS INT) AS page", "IF(id = 60, 0, 5) AS n_rows")
+    assert pages_until_empty(df, ["q"]).count() == 59
+
+
+def test_unreadable_pages_and_open_fields(spark, page):
+    htmls = [page([{"ad_id": "a", "heading": "h", "colour": "red", "size": {"w": 1}}]), "<html></html>", None, page(None, raw='{"queries": []}')]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page INT, html STRING")
+    parsed = sp.parse_pages(df)
+    lost = {r.page: (r.parse_error, r.html_chars) for r in sp.unreadable_pages(parsed, ["page"]).collect()}
+    assert lost == {1: ("no payload", 13), 2: ("no payload", 0), 3: ("no docs", len(htmls[3]))}
+    rows = sp.explode_listings(parsed, ["page"], include_raw=True)
+    fields = rows.select(sp.open_fields(F.col("raw"), ["ad_id", "heading"]).alias("f")).first().f
+    assert fields == {"colour": '"red"', "size": '{"w":1}'}
