@@ -71,12 +71,10 @@ UNK_TOKEN = "<UNK>"
 MAX_SEQUENCE = 100
 EMBEDDING_DIM = 32
 HIDDEN_DIMS = [64, 64]
-VOCAB_LIMIT = 10_000
 
 # ---- fixed values: feature lists ------------------------------------------------------
 BOOLEAN_COLUMNS = ["is_private", "is_retailer", "has_shipping", "has_buy_now", "is_promoted"]
 BINARY_FEATURES = ["is_private", "is_retailer", "has_shipping", "has_buy_now"]
-NUMERIC_FEATURES = ["coordinates_lat", "coordinates_lon", "num_images", "distance"]
 CATEGORICAL_FEATURES = ["trade_type", "brand"]
 PRICE_FEATURES = ["num_images", "is_retailer", "has_shipping", "has_buy_now",
                   "coordinates_lat", "coordinates_lon", "title_len", "title_word_count",

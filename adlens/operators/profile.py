@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from adlens.constants import PERCENTILES, WEEKDAYS
 from adlens.operators.derive import weekday_name
-from adlens.operators.quantiles import (counted_values, exact_percentiles, median_by,
-                                        percentiles_wide)
+from adlens.operators.quantiles import exact_percentiles, median_by, percentiles_wide
 
 
 # ---- counts and shares -----------------------------------------------------------------
@@ -237,19 +236,19 @@ def boxplot_stats(df: DataFrame, group: str, value: str = "price_amount",
                   few_groups: bool = False) -> DataFrame:
     """Quartiles and whiskers (1.5 IQR, clipped to the data) per group, outliers hidden.
 
-    The whiskers are looked up among the distinct values that the percentiles have counted
-    already; that exchange is reused, and equal values of a large group travel as one row.
+    The whiskers are the outermost values within reach, found by a second pass with map-side combine.
     """
     known = df.where(F.col(group).isNotNull())
     q = percentiles_wide(known, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], few_groups)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     side = F.broadcast(q) if few_groups else q
-    inside = counted_values(known, value, [group]).join(side, group)
+    v = F.col("_v")
+    inside = known.select(group, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v)).join(side, group)
     return inside.groupBy(group).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
-        F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v"))).alias("whisker_high"),
-        F.sum("_n").alias("n"))
+        F.min(F.when(v >= F.col("q1") - reach, v)).alias("whisker_low"),
+        F.max(F.when(v <= F.col("q3") + reach, v)).alias("whisker_high"),
+        F.count("*").alias("n"))
 
 
 def median_ratio(df: DataFrame, flag: str, value: str = "price_amount") -> DataFrame:

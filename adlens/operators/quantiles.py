@@ -1,11 +1,11 @@
 """Exact percentiles without collecting a group into one task.
 
 Spark's own ``percentile`` and ``median`` keep every distinct value of a group in one aggregation
-buffer.  Here the values are counted first, and the wanted ranks are then located by narrowing:
-a coarse histogram on a fixed monotone scale, a fine histogram inside the buckets that hold a
-wanted rank, and a running count over what is left.  Each step is a hash aggregate with map-side
-combine; only the coarse histogram (a bounded number of rows per group) and the few values
-of the chosen fine buckets are ever ordered.
+buffer.  Here the wanted ranks are located by narrowing: a coarse histogram on a fixed monotone
+scale straight from the rows, then the counted values of only those buckets that hold a wanted
+rank, a fine histogram of them, and a running count over what is left.  The rows are read twice and
+never shuffled: the first exchange carries histograms, the second the values of the chosen buckets.
+Each step is a hash aggregate with map-side combine.
 """
 
 from __future__ import annotations
@@ -33,14 +33,6 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], small: bool) ->
     return joined.drop(*[f"_r{c}" for c in on])
 
 
-def counted_values(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """``keys, _v, _n``: rows per distinct value of each group, without NULL and NaN."""
-    v = F.col("_v")
-    return (df.select(*keys, F.col(value).cast("double").alias("_v"))
-            .where(v.isNotNull() & ~F.isnan(v))
-            .groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
-
-
 def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
                       group_by: Sequence[str] = (), few_groups: bool = False,
                       name: str = "value") -> DataFrame:
@@ -55,12 +47,12 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
     small = few_groups or not keys
     probs = sorted({float(p) for p in probabilities})
     v = F.col("_v")
-    counted = counted_values(df, value, keys).withColumn(
-        "_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * COARSE))
+    rows = (df.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+            .withColumn("_b", F.floor(F.signum(v) * F.log1p(F.abs(v)) * COARSE)))
 
     # Step 1: coarse histogram, running count, ranks wanted in each bucket.
-    coarse = counted.groupBy(*keys, "_b").agg(
-        F.sum("_n").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    coarse = rows.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = coarse.select(
@@ -76,12 +68,13 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
         _within(F.col("_before"), F.col("_cnt"), wanted).alias("_ranks"))
         .where(F.size("_ranks") > 0))
 
-    # Step 2: fine histogram inside the chosen coarse buckets, between their real bounds.
+    # Step 2: values of the chosen coarse buckets, and their fine histogram between the real bounds.
     share = F.when(F.col("_hi") > F.col("_lo"),
                    (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
-    inside = (_join(counted, chosen, [*keys, "_b"], small)
+    # What depends on the bucket goes along as grouping columns and needs no second join.
+    inside = (_join(rows, chosen, [*keys, "_b"], small)
+              .groupBy(*keys, "_b", "_v", "_lo", "_hi", "_total", "_ranks").agg(F.count("*").alias("_n"))
               .withColumn("_f", F.least(F.floor(share * FINE), F.lit(FINE - 1))))
-    # _total and _ranks depend on the bucket; as grouping columns they need no second join.
     fine = inside.groupBy(*keys, "_b", "_f", "_total", "_ranks").agg(F.sum("_n").alias("_cnt"))
     fine_running = (Window.partitionBy(*keys, "_b").orderBy("_f")
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlens.constants import (BOOLEAN_COLUMNS, BRANDS, CATEGORY_RULES, CONDITION_RULES, DEFAULT_BRAND,
-                              DEFAULT_CATEGORY, DEFAULT_CONDITION, IMAGE_BIN_LABELS, PERCENTILES, WEEKDAYS)
+                              DEFAULT_CATEGORY, DEFAULT_CONDITION, IMAGE_BIN_LABELS, PERCENTILES, WEEKDAYS, DISCRETE_PRICE_FEATURES, PRICE_FEATURES, TITLE_FEATURES)
 from adlens.functions.text import combined_text, first_rule, normalise_title, word_count
 from adlens.operators import derive, prepare, profile
 from adlens.operators.models import with_split
@@ -648,10 +648,7 @@ def split_counts(spark, d):
 
 # ---- association -------------------------------------------------------------------------
 
-_FEATURES = ["num_images", "is_retailer", "has_shipping", "has_buy_now", "coordinates_lat", "coordinates_lon",
-             "title_len", "title_word_count", "has_year_in_title", "listing_age_days", "hour_posted"]
-_FLAGS = ["is_retailer", "has_shipping", "has_buy_now", "has_year_in_title"]
-_TITLE = ["item_category", "brand_from_title", "condition"]
+_FEATURES, _FLAGS, _TITLE = PRICE_FEATURES, DISCRETE_PRICE_FEATURES, TITLE_FEATURES
 _CONTINUOUS = [f for f in _FEATURES if f not in _FLAGS]
 _CORR = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, corr(CAST(CAST({f} AS INT) AS DOUBLE), log_price) AS r FROM T" if f in _FLAGS else

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from adlens.constants import (BINARY_FEATURES, CATEGORICAL_FEATURES, EMBEDDING_DIM, HIDDEN_DIMS, SEED,
+from adlens.constants import (BINARY_FEATURES, CATEGORICAL_FEATURES, EMBEDDING_DIM, HIDDEN_DIMS, RIDGE_ALPHA, SEED,
                               TFIDF_TERMS)
 from adlens.operators import models, neural, prepare, scale, tfidf, vocab
 from adlens.plans.analysis import histogram_sql, rounded, scope
@@ -193,10 +194,33 @@ def _train_test(spark, d):
     return parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
 
 
-@query("ridge_fit")
+# Two numeric features, so that the penalised normal equations can be solved in SQL.
+_RIDGE = f"""{S}, A AS (SELECT CAST(num_images AS DOUBLE) AS x, coordinates_lat AS z, CAST(price_amount AS DOUBLE) AS y FROM S),
+  M AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM A),
+  Q AS (SELECT sum((x - mx) * (x - mx)) + {RIDGE_ALPHA} AS xx, sum((z - mz) * (z - mz)) + {RIDGE_ALPHA} AS zz, sum((x - mx) * (z - mz)) AS xz,
+    sum((x - mx) * (y - my)) AS xy, sum((z - mz) * (y - my)) AS zy, any_value(mx) AS mx, any_value(mz) AS mz, any_value(my) AS my FROM A, M),
+  W AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS wx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS wz, mx, mz, my FROM Q)"""
+
+
+def _numeric_ridge(spark, d):
+    rows = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(scope(spark, d).select(
+        *KEYS, F.col("num_images").cast("double").alias("x"), F.col("coordinates_lat").alias("z"), "price_amount"))
+    return rows, models.ridge_estimator(rows).fit(rows)
+
+
+@query("ridge_fit", f"""{_RIDGE} SELECT 'num_images' AS feature, round(wx, 3) AS weight FROM W UNION ALL SELECT 'coordinates_lat', round(wz, 3) FROM W
+  UNION ALL SELECT 'intercept', round(my - wx * mx - wz * mz, 2) FROM W""")
 def ridge_fit(spark, d):
-    train, _ = _train_test(spark, d)
-    return models.feature_weights(models.fit_price_model(train, "ridge"), spark)
+    _, fit = _numeric_ridge(spark, d)
+    weights = [("num_images", round(float(fit.coefficients[0]), 3)), ("coordinates_lat", round(float(fit.coefficients[1]), 3)),
+               ("intercept", round(fit.intercept, 2))]
+    return spark.createDataFrame(weights, "feature STRING, weight DOUBLE")
+
+
+@query("ridge_numeric_predictions", f"""{_RIDGE} SELECT {_KEYS}, round(my + wx * (num_images - mx) + wz * (coordinates_lat - mz), 2) AS prediction FROM S, W""")
+def ridge_numeric_predictions(spark, d):
+    rows, fit = _numeric_ridge(spark, d)
+    return fit.transform(rows).select(*KEYS, F.round("prediction", 2).alias("prediction"))
 
 
 @query("gbt_fit")

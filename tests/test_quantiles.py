@@ -56,13 +56,23 @@ def test_approximate_is_close(spark):
     assert median_by(df, "v", exact=False).first()["median"] == pytest.approx(50_000, abs=20)
 
 
-def test_source_is_scanned_once(spark, tmp_path):
-    spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v").write.parquet(str(tmp_path / "t"))
-    df = exact_percentiles(spark.read.parquet(str(tmp_path / "t")), "v", [0.5])
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+def test_no_exchange_carries_all_rows(spark):
+    """Near-unique microsecond times, all within a day: the rows are read twice and only histograms and the
+    values of the chosen buckets are shuffled."""
+    n = 200_000
+    df = spark.range(0, n, 1, 4).selectExpr("1.7e15 + (id * 7919 % 200000) * 400000.0 * 1000 AS v")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def stages():
+        none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        found = store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+    before = stages()
+    got = exact_percentiles(df, "v", [0.25, 0.5, 0.9]).collect()
+    want = np.quantile(1.7e15 + np.arange(n) * 4e8, [0.25, 0.5, 0.9])
+    assert [r.value for r in sorted(got, key=lambda r: r.p)] == pytest.approx(list(want), rel=1e-12)
+    moved = [records for stage, records in stages().items() if stage not in before]
+    assert moved and max(moved) < 0.5 * n
 
 
 def test_positions(spark):
