@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from adlens.functions.payload import (company_profile, fenced, first_of, follower_count,
                                       hydration_texts, let, loader_section)
-from adlens.operators.search_pages import list_size
+from adlens.operators.search_pages import list_size, open_fields
 from adlens.schemas import COMPANY_PROFILE, ITEM_SECTION
 
 
@@ -71,6 +71,12 @@ def prefixed_fields(df: DataFrame, source: str, prefix: str) -> dict[str, Column
     return {f"{prefix}{f.name}": F.col(f"{source}.{f.name}") for f in dtype}
 
 
+def remaining_fields(df: DataFrame, source: str, raw: Column, path: str) -> Column:
+    """Fields of the object at ``path`` that the struct column ``source`` does not declare, as name -> JSON text."""
+    known = [f.name for f in df.select(source).schema[0].dataType]
+    return open_fields(F.try_variant_get(raw, path, "variant"), known)
+
+
 def seller_columns(section: Column, followers: Column, company: Column) -> dict[str, Column]:
     contact = first_of(company["contacts"])
     return {"canonical_url": F.nullif(section["meta"]["canonical"], F.lit("")),
@@ -93,6 +99,8 @@ def flatten_items(parsed: DataFrame, keep: Sequence[str] = ("ad_id",),
     columns |= location_columns(item["location"])
     columns |= prefixed_fields(parsed, "section.itemData.meta", "meta_")
     columns |= prefixed_fields(parsed, "section.transactableData", "txn_")
+    columns |= {"meta_rest": remaining_fields(parsed, "section.itemData.meta", F.col("raw"), "$.itemData.meta"),
+                "txn_rest": remaining_fields(parsed, "section.transactableData", F.col("raw"), "$.transactableData")}
     columns |= seller_columns(F.col("section"), F.col("followers"), F.col("company"))
     if include_raw:
         columns["raw"] = F.col("raw")

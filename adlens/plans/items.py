@@ -23,8 +23,7 @@ def _items(spark, d):
 @query("scan_item_pages", f"{D} SELECT ad_id FROM D WHERE ad_id IN (SELECT ad_id FROM L WHERE has_buy_now)")
 def scan_item_pages(spark, d):
     wanted = fixtures.listings(spark, d).where("has_buy_now").select("ad_id")
-    pages = fixtures.item_pages(spark, d)
-    return pages.join(wanted, "ad_id", "left_semi").select("ad_id")
+    return tables.scan_item_pages(spark, fixtures.item_pages_path(spark, d), wanted).select("ad_id")
 
 
 @query("hydration_json", f"""{D} SELECT ad_id, 1 AS n_found, concat(heading, ' æøå') AS title FROM D""")
@@ -95,6 +94,16 @@ def prefix_fields(spark, d):
                                    "txn_eligibleForShipping", "txn_buyNow")
 
 
+@query("open_item_fields", f"""{D} SELECT ad_id, 'meta_edition' AS field, CAST(num_images AS VARCHAR) AS value FROM D
+  UNION ALL SELECT ad_id, 'txn_carrier', concat('"carrier ', seq_part, '"') FROM D""")
+def open_item_fields(spark, d):
+    """Keys of the item sections that no schema declares."""
+    items = _items(spark, d)
+    parts = [items.select("ad_id", F.explode(f"{p}_rest").alias("field", "value")).withColumn("field", F.concat(F.lit(f"{p}_"), "field"))
+             for p in ("meta", "txn")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("seller_columns", f"""{D} SELECT ad_id, concat('https://ads.example.test/item/', ad_id) AS canonical_url,
   CASE WHEN is_retailer THEN CAST(seq_supp AS INT) END AS follower_count,
   CASE WHEN is_retailer THEN organisation_name END AS seller_org_name,

@@ -196,11 +196,13 @@ def _build_item_pages(spark: SparkSession, sf_dir: str, damaged: bool) -> DataFr
                  F.lit("0150").alias("postalCode"), F.col("location").alias("postalName"),
                  F.lit("NO").alias("countryCode")).alias("location"),
         F.struct(F.col("ad_id").alias("adId"),
-                 F.col("seq_supp").cast("string").alias("ownerId")).alias("meta"))
+                 F.col("seq_supp").cast("string").alias("ownerId"),
+                 F.col("num_images").alias("edition")).alias("meta"))
     section = F.to_json(F.struct(
         item.alias("itemData"),
         F.struct(F.col("has_shipping").alias("eligibleForShipping"),
-                 F.col("has_buy_now").alias("buyNow")).alias("transactableData"),
+                 F.col("has_buy_now").alias("buyNow"),
+                 F.concat(F.lit("carrier "), "seq_part").alias("carrier")).alias("transactableData"),
         F.struct(F.concat(F.lit("https://ads.example.test/item/"), "ad_id").alias("canonical")
                  ).alias("meta")))
     loader_key = F.when(F.col("is_retailer"), "item-bap").otherwise("item-recommerce")
@@ -230,3 +232,7 @@ def item_pages(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataF
     """Landed item pages, one per ad; ``damaged`` cuts the payload of some of them short."""
     return landed_table(spark, sf_dir, "item-pages-damaged" if damaged else "item-pages",
                         lambda: _build_item_pages(spark, sf_dir, damaged))
+
+
+def item_pages_path(spark: SparkSession, sf_dir: str) -> str:
+    return landed_path(spark, sf_dir, "item-pages", lambda: _build_item_pages(spark, sf_dir, False))

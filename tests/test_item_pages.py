@@ -77,3 +77,10 @@ def test_page_is_parsed_once(spark):
     plan = ip.get_items(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("__staticRouterHydrationData") == 1
     assert ip.parse_item_pages(df).select(F.col("followers")).first()["followers"] is None
+
+
+def test_undeclared_keys_are_kept(spark):
+    item = {**ITEM, "meta": {"adId": 42, "schema": "v2", "edited": {"by": 1}}}
+    row = items(spark, html(item, transactableData={"buyNow": True, "carrier": "post"}))["0"]
+    assert row.meta_rest == {"schema": '"v2"', "edited": '{"by":1}'} and row.txn_rest == {"carrier": '"post"'}
+    assert row.meta_adId == "42" and row.txn_buyNow is True
