@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from adlens.constants import GBT_SETTINGS, RIDGE_ALPHA, SEED, TFIDF_TERMS
 from adlens.operators.profile import histogram
 from adlens.operators.tfidf import TOKEN_PATTERN, term_table
+from adlens.session import ensure_checkpoint_dir
 from adlens.sources.tables import require_rows
 
 MODEL_TYPES = ("ridge", "gbt")
@@ -113,6 +114,7 @@ def fit_price_model(train: DataFrame, model_type: str = "ridge", max_terms: int
         estimator = ridge_estimator(fitted_on, **settings)
         rows = fitted_on
     else:
+        ensure_checkpoint_dir(train.sparkSession)  # the lineage of hundreds of rounds is cut every few
         options = {**GBT_SETTINGS, "seed": SEED, **settings}
         if validation is not None:
             options["validationIndicatorCol"] = validation

@@ -185,10 +185,6 @@ def prepared(spark, d):
         fixtures.first_listings(spark, d)))
 
 
-# Boosting is sequential; the registered queries use fewer rounds and terms than the default.
-_GBT = {"max_terms": 100, "maxIter": 5, "maxDepth": 4}
-
-
 def _train_test(spark, d):
     parts = models.with_split(prepared(spark, d), "ad_id")
     return parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
@@ -226,14 +222,14 @@ def ridge_numeric_predictions(spark, d):
 @query("gbt_fit")
 def gbt_fit(spark, d):
     train, _ = _train_test(spark, d)
-    return models.feature_weights(models.fit_price_model(train, "gbt", **_GBT), spark)
+    return models.feature_weights(models.fit_price_model(train, "gbt"), spark)
 
 
 @query("gbt_early_stop")
 def gbt_early_stop(spark, d):
     train, test = _train_test(spark, d)
     inner = models.with_split(train, "ad_id", 0.2, SEED + 1, "is_validation")
-    model = models.fit_price_model(inner, "gbt", validation="is_validation", **_GBT)
+    model = models.fit_price_model(inner, "gbt", validation="is_validation")
     return models.regression_metrics(model.predict(test))
 
 

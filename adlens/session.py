@@ -83,10 +83,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives lost executors."""
-    spark = df.sparkSession
-    shared_dir(spark)
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints, those of iterative fits too, go to the shared folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: computed once, survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
