@@ -176,8 +176,8 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     added = ["n_lines", "removed_lines", "removed_words"]
     gone = land(deletions(docs, min_words), "gone")
     rows = docs.drop(*added).withColumn("_hash", F.xxhash64("text"))
-    mine = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), "gone") \
-        .withColumnRenamed("gone", "_gone")
+    # The deletions grow with the corpus: they meet the texts by key at every size and are never broadcast.
+    mine = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("gone").alias("_gone")).hint("merge")
     joined = rows.join(mine, (rows["doc_id"].cast("bigint") == mine["_id"]) & (rows["_hash"] == mine["_text_hash"]), "left")
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
