@@ -33,7 +33,6 @@ RANK_BLOCK = 512
 SEGMENT_IDS = 1 << 20
 END_ID = 2
 _FOOTER = struct.Struct("<QQQQQ")  # ids, documents, document table, segments, segment table
-_BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint32)
 
 
 class Level:
@@ -54,17 +53,13 @@ class Level:
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def rank(self, at: np.ndarray) -> np.ndarray:
-        """Ones before each position: the directory's count, whole bytes of the block, bits of the last byte."""
-        block = at // RANK_BLOCK
-        out = self.directory[block].astype(np.int64)
-        byte, first = at >> 3, block * (RANK_BLOCK >> 3)
-        for step in range(RANK_BLOCK >> 3):
-            inside = first + step < byte
-            if not inside.any():
-                break
-            out[inside] += _BITS_OF_BYTE[self.bitmap[(first + step)[inside]]]
-        mask = ((1 << (at & 7)) - 1).astype(np.uint8)
-        return out + _BITS_OF_BYTE[self.bitmap[byte] & mask]
+        """Ones before each position: the directory's count and the ones of the block up to there."""
+        return np.array([self.rank_of(i) for i in at.tolist()], np.int64)
+
+    def rank_of(self, at: int) -> int:
+        start = at // RANK_BLOCK * (RANK_BLOCK >> 3)
+        part = int.from_bytes(self.bitmap[start:(at >> 3) + 1].tobytes(), "little")
+        return int(self.directory[at // RANK_BLOCK]) + (part & ((1 << (at - start * 8)) - 1)).bit_count()
 
 
 def encode(ids: np.ndarray) -> list[Level]:
@@ -104,7 +99,7 @@ def access_range(levels: list[Level], first: int, last: int) -> np.ndarray:
         more = np.flatnonzero(bits)
         if not len(more):
             break
-        first = int(level.rank(np.array([first]))[0])
+        first = level.rank_of(first)
         last = first + len(more)
         rows = more if isinstance(rows, slice) else rows[more]
     return out
@@ -255,7 +250,8 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                     "doc_id": pa.array(reader.keys, pa.int64()), "start": pa.array(reader.starts[:-1] + base, pa.int64()),
                     "n_tokens": pa.array(np.diff(reader.starts), pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
-    files = based.select("path", "base").repartition("path")
+    # A stated number of partitions: small as the rows are, each stands for a file.
+    files = based.select("path", "base").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -8,19 +8,15 @@ which that cut could matter (runs of white space, other white space, special str
 
 from __future__ import annotations
 
-import re
 from array import array
 from functools import lru_cache
 
 from adlens.llm.common import BoundedTable
 
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
-# Longer pieces are encoded without being kept.
-KEPT_CHARACTERS = 64
-
-# str.split() also parts at \x1c-\x1f, which the library takes for symbols.
-_WORD_CUT_MATTERS = re.compile("[\x1c-\x1f]|<\\|")
 _ENDINGS = ".,;:!?"
+# Letters below this one are the same in composed form and have plain lower cases.
+_FIRST_ODD_LETTER = "\u0130"
 
 
 def _byte_cut_matters(text: str) -> bool:
@@ -40,61 +36,86 @@ def _byte_symbols() -> dict[int, str]:
 _SYMBOLS = _byte_symbols()
 
 
+def _in_symbols(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_SYMBOLS)
+
+
+def _plain_word(word: str) -> bool:
+    return word.isalpha() and max(word) < _FIRST_ODD_LETTER
+
+
+def _word_cut_matters(text: str) -> bool:
+    """A special string, or one of \\x1c-\\x1f, where str.split() parts and which the library takes for symbols."""
+    return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
+class _Words(BoundedTable):
+    """Ids of words; one with punctuation at its end is put together from its letters and the ending, and not kept."""
+
+    def __init__(self, compute, plain, endings: BoundedTable):
+        super().__init__(compute)
+        self.plain, self.endings = plain, endings
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(_ENDINGS)
+        if len(letters) < len(word) and self.plain(letters):
+            return self[letters] + self.endings[word[len(letters):]]
+        return super().__missing__(word)
+
+
 class Encoder:
     """``ids(text)`` are the library's ids, 32-bit little-endian, without added special tokens."""
 
     def __init__(self, path: str, word_level: bool):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.word_level = word_level
-        self.pieces = BoundedTable(self._piece)
-        self.first, self.spaced = BoundedTable(self._chunk), BoundedTable(self._spaced)
+        self.endings = BoundedTable(self._piece)
+        plain = _plain_word if word_level else str.isalpha
+        self.first = _Words(self._word if word_level else self._chunk, plain, self.endings)
+        self.spaced = _Words(self._spaced, plain, self.endings)
         self.line_feed = b"" if word_level else self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        plain = chunk.rstrip(_ENDINGS)
-        # The usual word, letters and perhaps some punctuation, is cut here; all else by the library.
-        if not self.word_level and plain.lstrip(" ").isalpha() and plain.rfind(" ") < 1:
-            cut = [plain, chunk[len(plain):]]
-            return b"".join([self.pieces[p.encode().decode("latin-1").translate(_SYMBOLS)] for p in cut if p])
-        if self.word_level and plain.isascii() and plain.isalpha():
-            return b"".join([self.pieces[p] for p in (plain.lower(), chunk[len(plain):]) if p])
+    def _cut_by_library(self, chunk: str) -> bytes:
         if self.tokenizer.normalizer is not None:
             chunk = self.tokenizer.normalizer.normalize_str(chunk)
         if not chunk:
             return b""
-        return b"".join([self.pieces[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+        return b"".join([self._piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+
+    # A word of letters is one piece; all else is cut by the library.
+
+    def _word(self, word: str) -> bytes:
+        return self._piece(_in_symbols(word.lower())) if _plain_word(word) else self._cut_by_library(word)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._piece(_in_symbols(chunk)) if chunk.isalpha() else self._cut_by_library(chunk)
 
-    def _spaced(self, chunk: str) -> bytes:
-        return self._chunk(" " + chunk)
+    def _spaced(self, word: str) -> bytes:
+        return self._piece(_in_symbols(" " + word)) if word.isalpha() else self._cut_by_library(" " + word)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.word_level:
-            if _WORD_CUT_MATTERS.search(text):
+            if _word_cut_matters(text):
                 return self._whole(text)
-            words = text.split()
-            if len(max(words, key=len, default="")) > KEPT_CHARACTERS:
-                return b"".join([self.first[w] if len(w) <= KEPT_CHARACTERS else self._chunk(w) for w in words])
-            return b"".join(map(self.first.__getitem__, words))
+            return b"".join(map(self.first.__getitem__, text.split()))
         if _byte_cut_matters(text):
             return self._whole(text)
         out = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
             out.append(self.line_feed)
-            out.append(self.first[head] if len(head) <= KEPT_CHARACTERS else self._chunk(head))
-            if len(max(rest, key=len, default="")) > KEPT_CHARACTERS:
-                out.extend(self.spaced[w] if len(w) <= KEPT_CHARACTERS else self._spaced(w) for w in rest)
-            else:
-                out.extend(map(self.spaced.__getitem__, rest))
+            out.append(self.first[head])
+            out.extend(map(self.spaced.__getitem__, rest))
         return b"".join(out[1:])
 
 
