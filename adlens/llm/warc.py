@@ -214,7 +214,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = _RECORDS.replace("payload binary", "payload_bytes bigint") + (", payload binary" if payloads else "")
-    return manifest.select("path").repartition("path").mapInArrow(read, schema)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
