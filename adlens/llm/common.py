@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from adlens.session import scratch_path
 
-# A task keeps the hashes (or ids) of at most this many words; beyond it the table starts anew.
-WORD_TABLE_LIMIT = 700_000
+# A worker keeps the hashes, ids or counts of at most this many words, in all its tables together (about 300 bytes
+# each); beyond it they start anew.
+WORKER_LIMIT = 600_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
@@ -32,17 +33,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+# Longer words are looked up anew each time, so that keys are bounded too.
+KEPT_LENGTH = 64
+
+
 class BoundedTable(dict):
-    """Computes a missing entry and keeps it; emptied when it reaches ``limit``, so memory is bounded."""
+    """Computes a missing entry and keeps it.  The tables of a worker share one bound, as it serves the tasks of
+    one operator after another: when it is reached all are emptied."""
+
+    held = 0
+    tables: list[BoundedTable] = []
 
-    def __init__(self, compute, limit: int = WORD_TABLE_LIMIT):
+    def __init__(self, compute):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute = compute
+        BoundedTable.tables.append(self)
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= KEPT_LENGTH:
+            if BoundedTable.held >= WORKER_LIMIT:
+                for table in BoundedTable.tables:
+                    table.clear()
+                BoundedTable.held = 0
+            self[key] = value
+            BoundedTable.held += 1
         return value
 
 

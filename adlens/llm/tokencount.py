@@ -21,7 +21,6 @@ from adlens.llm.common import BoundedTable, texts
 VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 SPACE = "▁"
-KEPT_CHARACTERS = 64
 # A unit is a run of spaces with what follows it; no piece of the vocabulary holds a space after another character.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -66,10 +65,7 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        if len(max(units, key=len)) > KEPT_CHARACTERS:
-            return sum(self.units[u] if len(u) <= KEPT_CHARACTERS else self.count_unit(u) for u in units)
-        return sum(map(self.units.__getitem__, units))
+        return sum(map(self.units.__getitem__, _UNIT.findall(SPACE + text.replace(" ", SPACE))))
 
 
 @lru_cache(maxsize=2)
