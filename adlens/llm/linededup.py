@@ -14,7 +14,7 @@ Documents are ordered by doc_id, rows of one doc_id by a hash of their text.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +102,51 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _shortest_runs(lines: Sequence[int], counts: Sequence[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """First and end of the shortest run of ``min_words`` words that starts at a line, and of the one that ends there.
+
+    What two documents share of ``min_words`` words or more is covered by such runs.
+    """
+    end = held = 0
+    for first in range(len(lines)):
+        while end < len(lines) and held < min_words:
+            held += counts[end]
+            end += 1
+        if held < min_words:
+            break
+        yield first, end
+        held -= counts[first]
+    first = held = 0
+    for end in range(1, len(lines) + 1):
+        held += counts[end - 1]
+        while held - counts[first] >= min_words:
+            held -= counts[first]
+            first += 1
+        if held >= min_words:
+            yield first, end
+
+
 def common_blocks(later: Sequence[int], earlier: Sequence[int], counts: Sequence[int], min_words: int) -> list[int]:
-    """Positions in ``later`` inside aligned blocks of ``min_words`` words or more."""
+    """Positions in ``later`` inside runs of ``min_words`` words or more that ``earlier`` holds: aligned blocks
+    first, then the shared runs of lines that are left, wherever and however often they occur."""
+    gone = set(_aligned_blocks(later, earlier, counts, min_words))
+    if len(gone) == len(later):
+        return sorted(gone)
+    # A line that only the owner has is in no shared run; it ends the runs on its side.
+    words = dict(zip(later, counts))
+    held: set[tuple[int, ...]] = set()
+    start = 0
+    for stop in [*(j for j, line in enumerate(earlier) if line not in words), len(earlier)]:
+        stretch = earlier[start:stop]
+        held.update(tuple(stretch[i:k]) for i, k in _shortest_runs(stretch, [words[x] for x in stretch], min_words))
+        start = stop + 1
+    for i, k in _shortest_runs(later, counts, min_words) if held else ():
+        if tuple(later[i:k]) in held:
+            gone.update(range(i, k))
+    return sorted(gone)
+
+
+def _aligned_blocks(later: Sequence[int], earlier: Sequence[int], counts: Sequence[int], min_words: int) -> list[int]:
     gone: list[int] = []
     block: list[int] = []
     before = (-2, -2)

@@ -68,6 +68,32 @@ def test_blocks_need_enough_words():
     assert linededup.common_blocks(later, earlier, counts, 21) == []
 
 
+def shared_runs(later, earlier, counts, least):
+    """Positions of ``later`` inside any run of ``least`` words that ``earlier`` holds, by trying every run."""
+    held = {tuple(earlier[i:k]) for i in range(len(earlier)) for k in range(i + 1, len(earlier) + 1)}
+    return sorted({p for i in range(len(later)) for k in range(i + 1, len(later) + 1)
+                   if sum(counts[i:k]) >= least and tuple(later[i:k]) in held for p in range(i, k)})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=16), st.lists(st.integers(0, 5), max_size=16), st.integers(1, 9))
+def test_no_shared_run_is_left(later, earlier, least):
+    counts = [1 + x % 4 for x in later]
+    assert linededup.common_blocks(later, earlier, counts, least) == shared_runs(later, earlier, counts, least)
+
+
+def test_repeated_and_reordered_passages_go(docs):
+    def passage(n):
+        return "\n".join(line(100 * n + k) for k in range(4))
+    p, q = passage(1), passage(2)
+    own = [line(9000 + k) for k in range(30)]
+    rows = [(0, "\n".join([own[0], p, own[1], p, own[2], q, own[3]])),  # P twice in the owner, Q after it
+            (1, "\n".join([own[4], p, own[5]])), (2, "\n".join([own[6], p, own[7], p, own[8]])),
+            (3, "\n".join([own[9], q, own[10], p, own[11]]))]
+    got = {r.doc_id: r.text for r in linededup.remove_repeated_lines(docs(rows)).collect()}
+    assert got == {0: rows[0][1], 1: "\n".join(own[4:6]), 2: "\n".join(own[6:9]), 3: "\n".join(own[9:12])}
+
+
 def test_removal_equals_brute_force(docs):
     passage = [line(i) for i in range(100, 108)]
     hot = "Short common line of this site."
