@@ -1,5 +1,8 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document holds go from the later one.
 
+Lines are cut into pieces at sentence ends, so that a passage inside a longer line, or next to a changed sentence, is
+found as well; in what follows a line is such a piece.  What is left of a cut line stays as one line.
+
 1. A line key is made rare by construction: a line, lengthened by the lines after it until the run holds
    ``MIN_WORDS`` words.  Short common lines alone never are a key.
 2. The earliest document with a key owns it; every later document with the key is aligned with the owner.
@@ -13,6 +16,7 @@ Documents are ordered by doc_id, rows of one doc_id by a hash of their text.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
@@ -25,17 +29,23 @@ from pyspark.sql import functions as F
 from adlens.llm.common import land, list_column, texts
 
 MIN_WORDS = 25
+# A line is cut after the space that follows a sentence end; Python and Java read the pattern alike.
+SENTENCE_CUT = r"""(?<=[.!?][\x20\x09\x0B-\x0D])|(?<=[.!?]["')\]”’»][\x20\x09\x0B-\x0D])"""
+_CUT = re.compile(SENTENCE_CUT)
+# The place of a piece: its line in the upper half, its number in the line in the lower one.
+PLACE_BITS = 32
 
 
 def line_keys(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, word counts and places of the lines with words, and the hashes of the runs that start at them."""
+    """Hashes, word counts and places of the pieces with words, and the hashes of the runs that start at them."""
     hashes, counts, places = [], [], []
-    for place, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if words:
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            counts.append(len(words))
-            places.append(place)
+    for number, line in enumerate((text or "").split("\n")):
+        for at, piece in enumerate(_CUT.split(line)):
+            words = piece.encode("utf-8", "surrogatepass").split()
+            if words:
+                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                counts.append(len(words))
+                places.append((number << PLACE_BITS) + at)
     line = np.array(hashes, np.uint64)
     runs, last, held = [], 0, 0
     for first in range(len(hashes)):
@@ -46,7 +56,7 @@ def line_keys(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray,
             break
         runs.append(xxhash.xxh3_64_intdigest(line[first:last].tobytes()))
         held -= counts[first]
-    return line.view(np.int64), np.array(counts, np.int32), np.array(places, np.int32), \
+    return line.view(np.int64), np.array(counts, np.int32), np.array(places, np.int64), \
         np.array(sorted(set(runs)), np.uint64).view(np.int64)
 
 
@@ -160,9 +170,6 @@ def _aligned_blocks(later: Sequence[int], earlier: Sequence[int], counts: Sequen
     return gone
 
 
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-
-
 def _aligned(min_words: int):
     def run(batches):
         for batch in batches:
@@ -170,26 +177,26 @@ def _aligned(min_words: int):
             columns = [batch.column(n) for n in names]
             gone = []
             for lines, counts, places, owner in zip(*(c.to_pylist() for c in columns[2:])):
-                gone.append(np.array([places[i] for i in common_blocks(lines, owner, counts, min_words)], np.int32))
-            yield pa.RecordBatch.from_arrays([columns[0], columns[1], list_column(gone, pa.int32())],
+                gone.append(np.array([places[i] for i in common_blocks(lines, owner, counts, min_words)], np.int64))
+            yield pa.RecordBatch.from_arrays([columns[0], columns[1], list_column(gone, pa.int64())],
                                              names=["doc_id", "text_hash", "gone"])
     return run
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, gone (ascending places of lines to delete) for documents that lose lines."""
+    """doc_id, text_hash, gone (ascending places of pieces to delete) for documents that lose some."""
     def lines(batches):
         for batch in batches:
             found = [line_keys(t, min_words) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[list_column([f[i] for f in found], kind) for i, kind in
-                                                    enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]],
+                                                    enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]],
                 names=["doc_id", "text_hash", "lines", "counts", "places", "runs"])
 
     source = docs.where("doc_id IS NOT NULL") \
         .select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     lined = land(source.mapInArrow(lines, "doc_id bigint, text_hash bigint, lines array<bigint>, counts array<int>, "
-                                          "places array<int>, runs array<bigint>"), "lines")
+                                          "places array<bigint>, runs array<bigint>"), "lines")
     keyed = lined.select(F.struct("doc_id", "text_hash").alias("doc"), F.explode("runs").alias("run"))
     owners = land(keyed.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("_last"))
                   .where("owner <> _last").drop("_last"), "owners")
@@ -202,15 +209,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     owner = single.select(F.col("doc_id").alias("owner"), F.col("text_hash").alias("owner_hash"), F.col("lines").alias("owner_lines"))
     matched = pairs.join(later, ["later", "later_hash"]).join(owner, ["owner", "owner_hash"]) \
         .select("later", "later_hash", "lines", "counts", "places", "owner_lines") \
-        .mapInArrow(_aligned(min_words), "doc_id bigint, text_hash bigint, gone array<int>")
-    # A document has at most as many owners as lines, so a group is bounded by the document itself.
+        .mapInArrow(_aligned(min_words), "doc_id bigint, text_hash bigint, gone array<bigint>")
+    # A document has at most as many owners as pieces, so a group is bounded by the document itself.
     return matched.where(F.size("gone") > 0).groupBy("doc_id", "text_hash") \
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, texts without the deleted lines (n_chars counted anew), plus ``n_lines``
-    (with words) before, ``removed_lines`` and ``removed_words``.
+    """All rows and columns of ``docs``, texts without the deleted pieces (n_chars counted anew), plus ``n_lines``
+    (with words) before, ``removed_lines`` (those without a word left) and ``removed_words``.
 
     Null and empty texts and rows without doc_id stay as they are.  Copies of one text lose all lines but in
     the earliest document; identical rows of one doc_id lose the same lines.  Columns of ``docs`` with the
@@ -223,16 +230,22 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     mine = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("gone").alias("_gone")).hint("merge")
     joined = rows.join(mine, (rows["doc_id"].cast("bigint") == mine["_id"]) & (rows["_hash"] == mine["_text_hash"]), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
-    lost = F.filter(parts, lambda x, i: F.array_contains("_gone", i))
     words = r"[^\x20\x09-\x0D]+"
     changed = F.col("_gone").isNotNull()
-    new = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    out = joined.withColumns({
-        "_new": new,
+
+    def rest(line, number):
+        left = F.array_join(F.filter(F.split(line, SENTENCE_CUT, -1), lambda _, at: ~F.array_contains(
+            "_gone", F.shiftleft(number.cast("bigint"), PLACE_BITS) + at)), "")
+        return F.when(~F.array_contains("_cut", number.cast("bigint")), line).when(left.rlike(words), left)
+
+    # Lines that go as a whole are null, which array_join leaves out.
+    edited = joined.withColumn("_cut", F.array_distinct(F.transform("_gone", lambda g: F.shiftright(g, PLACE_BITS)))) \
+        .withColumn("_lines", F.when(changed, F.transform(parts, rest))) \
+        .withColumn("_new", F.when(changed, F.array_join("_lines", "\n")).otherwise(F.col("text")))
+    out = edited.withColumns({
         "n_lines": F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(words))), F.lit(0)).cast("bigint"),
-        "removed_lines": F.when(changed, F.size("_gone")).otherwise(0).cast("bigint"),
-        "removed_words": F.when(changed, F.regexp_count(F.array_join(lost, "\n"), F.lit(words))).otherwise(0).cast("bigint")})
+        "removed_lines": F.when(changed, F.size(F.filter("_lines", lambda x: x.isNull()))).otherwise(0).cast("bigint"),
+        "removed_words": F.when(changed, F.regexp_count("text", F.lit(words)) - F.regexp_count("_new", F.lit(words))).otherwise(0).cast("bigint")})
     columns = []
     for field in docs.drop(*added).schema:
         if field.name == "text":

@@ -94,6 +94,22 @@ def test_repeated_and_reordered_passages_go(docs):
     assert got == {0: rows[0][1], 1: "\n".join(own[4:6]), 2: "\n".join(own[6:9]), 3: "\n".join(own[9:12])}
 
 
+def test_passages_inside_longer_lines_go(docs):
+    p = " ".join(line(i) for i in range(4))
+    rows = [(0, f"{line(50)} {p} {line(51)}"),
+            (1, f"Before it.  {p} And after it.\n \nnext line"),           # inside a line
+            (2, "\n".join([line(60), *(line(i) for i in range(4)), "end"])),  # the same sentences as lines
+            (3, f"{p.replace('l1w4', 'other')} {p}"),                       # one changed word
+            (4, f"“Said so.” {p}"), (5, f"{p}\t\nrest")]
+    got = {r.doc_id: r for r in linededup.remove_repeated_lines(docs(rows)).collect()}
+    assert {d: r.text for d, r in got.items()} == {
+        0: rows[0][1], 1: "Before it. And after it.\n \nnext line", 2: f"{line(60)}\nend",
+        3: f"{line(0)} {line(1).replace('l1w4', 'other')} {line(2)} {line(3)} ", 4: "“Said so.” ", 5: "rest"}
+    assert {d: (r.n_lines, r.removed_lines, r.removed_words) for d, r in got.items()} == {
+        0: (1, 0, 0), 1: (2, 0, 36), 2: (6, 4, 36), 3: (1, 0, 36), 4: (1, 0, 36), 5: (2, 1, 36)}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_removal_equals_brute_force(docs):
     passage = [line(i) for i in range(100, 108)]
     hot = "Short common line of this site."
