@@ -94,16 +94,18 @@ class Items:
     """A block of benchmark items with the seeds of all of them in one sorted array."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids, self.words, seeds, owners = [], [], [], []
+        self.ids, self.words, self.windows, seeds, owners = [], [], [], [], []
         for item_id, text in rows:
             words = word_ids(text)
             if len(words) < MIN_MATCH:
                 continue
-            own = np.unique(window_hashes(words, MIN_MATCH))
+            windows = window_hashes(words, MIN_MATCH)
+            own = np.unique(windows)
             seeds.append(own)
             owners.append(np.full(len(own), len(self.ids)))
             self.ids.append(item_id)
             self.words.append(words)
+            self.windows.append(windows)
         flat = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.owners = (np.concatenate(owners) if owners else np.empty(0, np.int64))[order]
@@ -132,14 +134,20 @@ class Items:
         out = []
         for item, starts in by_item.items():
             pattern = self.words[item]
-            if 100 * min(len(pattern), MIN_MATCH * len(set(hashes[starts].tolist()))) < percent * len(pattern):
-                continue  # even disjoint seeds would not cover enough
+            shared = np.flatnonzero(np.isin(self.windows[item], hashes[starts]))
+            if 100 * _words_in_seeds(shared) < percent * len(pattern):
+                continue  # tiles are made of seeds, and the item's words inside shared ones are too few
             covered = sum(k for _, _, k in tile(_inside(words, starts), pattern.tolist()))
             if 100 * covered >= percent * len(pattern):
                 out.append((self.ids[item], covered, len(pattern)))
         return out
 
 
+def _words_in_seeds(starts: np.ndarray) -> int:
+    """How many words lie inside the seeds at these ascending places."""
+    return int(np.minimum(np.diff(starts), MIN_MATCH).sum()) + MIN_MATCH if len(starts) else 0
+
+
 def _inside(words: np.ndarray, starts: list[int]) -> list[int]:
     """The words inside seeds, stretches apart by a value that equals no word."""
     out: list[int] = []

@@ -77,6 +77,15 @@ def test_pairs_equal_brute_force(docs, words, spark):
     assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_items_that_repeat_a_phrase_are_found(docs, spark):
+    items = [(0, " ".join(["la"] * 12)), (1, " ".join(["la"] * 15)), (2, " ".join(["tick tock"] * 15)),
+             (3, " ".join(["one two three four five"] * 12))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i, f"before it {t} after it") for i, t in items[1:]] + [(9, "la la la la la only this")]
+    got = sorted((r.doc_id, r.item_id, r.covered_words) for r in tiling.contaminated_pairs(docs(rows), benchmark).collect())
+    assert got == [(1, 0, 12), (1, 1, 15), (2, 2, 30), (3, 3, 60)]
+
+
 def test_blocks_give_the_same_pairs(docs, words, spark, monkeypatch):
     items = [(i, " ".join(words(25, i))) for i in range(6)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
