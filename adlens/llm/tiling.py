@@ -3,8 +3,8 @@
 1. Seeds: every run of ``MIN_MATCH`` words of a benchmark item, hashed.  A document is looked at with an item
    only if they share seeds, and only its words inside shared seeds count, as each tile is made of seeds.
 2. Tiling: the longest matches that do not overlap marked words, on either side, are marked again and again,
-   by running Karp-Rabin: windows of the search length are hashed, equal ones are compared and extended; the
-   length is raised to a longer match or halved, down to ``MIN_MATCH``.
+   by running Karp-Rabin: windows of the search length are hashed, equal ones are compared and extended; what
+   marked words leave of a match is taken in its turn, and the length is halved, down to ``MIN_MATCH``.
 3. A document holds an item if the tiles cover ``COVER_PERCENT`` of the item's words, in whatever order.
 
 The benchmark is a query set: it is taken in blocks of about ``BLOCK_BYTES`` of text, each sent to all tasks.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,10 @@ def _windows(words: list[int], marked: list[bool], length: int) -> Iterator[tupl
 
 
 def tile(text: list[int], pattern: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (start in text, start in pattern, length), disjoint on both sides."""
+    """Greedy tiling: (start in text, start in pattern, length), disjoint on both sides.
+
+    The longest unmarked match comes first, of equal ones the first in the pattern, then in the text.
+    """
     text_marked, pattern_marked = [False] * len(text), [False] * len(pattern)
     tiles: list[tuple[int, int, int]] = []
     length = min(len(text), len(pattern))
@@ -65,25 +69,32 @@ def tile(text: list[int], pattern: list[int], min_match: int = MIN_MATCH) -> lis
         at = defaultdict(list)
         for value, i in _windows(text, text_marked, length):
             at[value].append(i)
-        found, longest = [], 0
+        found = []
         for value, j in _windows(pattern, pattern_marked, length):
             for i in at.get(value, ()):
+                if i and j and text[i - 1] == pattern[j - 1] and not text_marked[i - 1] and not pattern_marked[j - 1]:
+                    continue  # part of the match that starts before
                 k = 0
                 while i + k < len(text) and j + k < len(pattern) and text[i + k] == pattern[j + k] \
                         and not text_marked[i + k] and not pattern_marked[j + k]:
                     k += 1
                 if k >= length:
-                    found.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if any(text_marked[i:i + k]) or any(pattern_marked[j:j + k]):
+                    found.append((-k, j, i))
+        heapify(found)
+        while found:
+            k, j, i = heappop(found)
+            free = [not text_marked[i + x] and not pattern_marked[j + x] for x in range(-k)]
+            if all(free):
+                text_marked[i:i - k] = [True] * -k
+                pattern_marked[j:j - k] = [True] * -k
+                tiles.append((i, j, -k))
                 continue
-            text_marked[i:i + k] = [True] * k
-            pattern_marked[j:j + k] = [True] * k
-            tiles.append((i, j, k))
+            # Marked in part by a longer match: what is left on either side takes its turn.
+            start = 0
+            for end in [*(x for x, unmarked in enumerate(free) if not unmarked), -k]:
+                if end - start >= length:
+                    heappush(found, (start - end, j + start, i + start))
+                start = end + 1
         if length == min_match:
             break
         length = max(min_match, length // 2)

@@ -45,6 +45,23 @@ def test_tiles_are_disjoint_equal_and_long(text, pattern, least):
         assert tiles
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=25),
+       st.lists(st.tuples(st.integers(0, 24), st.integers(1, 9)), max_size=6), st.integers(1, 5))
+def test_coverage_equals_naive_tiling(text, pattern, slices, least):
+    assert sum(k for _, _, k in tiling.tile(text, pattern, least)) == naive(text, pattern, least)
+    distinct = list(range(24))
+    taken = [x for start, n in slices for x in [*distinct[start:start + n], 99]]
+    assert sum(k for _, _, k in tiling.tile(distinct, taken, least)) == naive(distinct, taken, least)
+
+
+def test_rest_of_an_overlapped_match_is_covered():
+    # Lengths 20, 10, 5: both matches come up in the last pass; the longer one leaves five words of the other.
+    text = [*range(1, 14), *range(50, 57)]
+    pattern = [*range(6, 14), 99, *range(1, 8), *range(70, 74)]
+    assert sum(k for _, _, k in tiling.tile(text, pattern)) == naive(text, pattern, 5) == 13
+
+
 def test_pairs_equal_brute_force(docs, words, spark):
     items = [(i, " ".join(words(20 + i, i, 400))) for i in range(8)] + [(8, "too short"), (9, None), (10, ""), (None, " ".join(words(30, 77)))]
     rows = [(0, None), (1, "")]
