@@ -68,6 +68,15 @@ def test_null_ids_repeated_rows_and_empty_table(docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_texts_that_share_an_id_stay_unless_near_duplicates(docs, words):
+    one, two, three = (words(60, seed) for seed in (1, 2, 3))
+    near = " ".join([*one[:-1], "changed"])
+    one, two, three = " ".join(one), " ".join(two), " ".join(three)
+    rows = [(2, one), (5, near), (5, two), (5, three), (5, two), (8, three), (None, two)]
+    kept = minhash.keep_one_per_group(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(2, one), (5, two), (5, three), (None, two)], key=str)
+
+
 def test_clashing_columns_are_ignored(docs):
     from pyspark.sql import functions as F
     table = docs([(1, "a b c d e f"), (2, "a b c d e f")])
