@@ -36,11 +36,11 @@ _CUT = re.compile(SENTENCE_CUT)
 PLACE_BITS = 32
 
 
-def line_keys(text: str | None, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_keys(text: str | None, min_words: int, sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, word counts and places of the pieces with words, and the hashes of the runs that start at them."""
     hashes, counts, places = [], [], []
     for number, line in enumerate((text or "").split("\n")):
-        for at, piece in enumerate(_CUT.split(line)):
+        for at, piece in enumerate(_CUT.split(line) if sentences else [line]):
             words = piece.encode("utf-8", "surrogatepass").split()
             if words:
                 hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
@@ -183,11 +183,11 @@ def _aligned(min_words: int):
     return run
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
     """doc_id, text_hash, gone (ascending places of pieces to delete) for documents that lose some."""
     def lines(batches):
         for batch in batches:
-            found = [line_keys(t, min_words) for t in texts(batch)]
+            found = [line_keys(t, min_words, sentences) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[list_column([f[i] for f in found], kind) for i, kind in
                                                     enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]],
@@ -215,16 +215,17 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
     """All rows and columns of ``docs``, texts without the deleted pieces (n_chars counted anew), plus ``n_lines``
     (with words) before, ``removed_lines`` (those without a word left) and ``removed_words``.
 
+    Without ``sentences`` lines are not cut, and a passage inside a longer line stays.
     Null and empty texts and rows without doc_id stay as they are.  Copies of one text lose all lines but in
     the earliest document; identical rows of one doc_id lose the same lines.  Columns of ``docs`` with the
     added names are replaced.  An empty table gives an empty one.
     """
     added = ["n_lines", "removed_lines", "removed_words"]
-    gone = land(deletions(docs, min_words), "gone")
+    gone = land(deletions(docs, min_words, sentences), "gone")
     rows = docs.drop(*added).withColumn("_hash", F.xxhash64("text"))
     # The deletions grow with the corpus: they meet the texts by key at every size and are never broadcast.
     mine = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("gone").alias("_gone")).hint("merge")
@@ -234,7 +235,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     changed = F.col("_gone").isNotNull()
 
     def rest(line, number):
-        left = F.array_join(F.filter(F.split(line, SENTENCE_CUT, -1), lambda _, at: ~F.array_contains(
+        left = F.array_join(F.filter(F.split(line, SENTENCE_CUT, -1) if sentences else F.array(line), lambda _, at: ~F.array_contains(
             "_gone", F.shiftleft(number.cast("bigint"), PLACE_BITS) + at)), "")
         return F.when(~F.array_contains("_cut", number.cast("bigint")), line).when(left.rlike(words), left)
 
