@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with the SQL that checks them where SQL can."""
+"""The operators as registered queries, with the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import idcodes, linededup, lm, minhash, packing, quality, sharding, tiling, tokencount, tokenizing, warc
+from adlens.llm import conversations, divergence, idcodes, licenses, linededup, lm, minhash, packing, quality, sharding, tiling, tokencount, tokenizing, warc
 from adlens.llm.common import documents, land
 from adlens.llm.ship import send_package
 
@@ -174,3 +174,97 @@ def op9_backoff_automaton_scores(spark, d):
 @query("op10_sum_of_squares_packing")
 def op10_sum_of_squares_packing(spark, d):
     return packing.pack(documents(spark, d), tokenizing.vocabulary_path(tokenizing.BYTE_LEVEL))
+
+
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _p(count: str, total: str) -> str:
+    return f"(1 + (CAST({divergence.SCALE} AS HUGEINT) * ({count} + 1)) // ({total}))"
+
+
+def _f(p: str, q: str) -> str:
+    return f"((({p}) - ({q})) * (({p}) - ({q})) // ({q}))"
+
+
+_AUDIT_SQL = f"""WITH D AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents),
+  G AS (SELECT DISTINCT lang, source FROM D),
+  T AS (SELECT d, lang, source, unnest(w) AS t FROM D),
+  K AS (SELECT lang, t, count(*) AS ln FROM T GROUP BY 1, 2 HAVING count(DISTINCT d) >= {divergence.MIN_DOCS}),
+  C AS (SELECT lang, source, t, count(*) AS n FROM T JOIN K USING (lang, t) GROUP BY 1, 2, 3),
+  V AS (SELECT lang, count(*) AS v, CAST(sum(ln) AS HUGEINT) AS l FROM K GROUP BY 1),
+  N AS (SELECT lang, source, v, l, coalesce((SELECT sum(n) FROM C WHERE C.lang = G.lang AND C.source = G.source), 0) AS m FROM G JOIN V USING (lang)),
+  P AS (SELECT lang, source, t, coalesce(n, 0) AS n, {_p("coalesce(n, 0)", "m + v")} AS p, {_p("ln", "l + v")} AS q
+    FROM N JOIN K USING (lang) LEFT JOIN C USING (lang, source, t)),
+  R AS (SELECT a.lang, a.source, b.source AS item, sum({_f("a.p", "b.p")}) AS value FROM P a JOIN P b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+  A AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM G a JOIN G b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN R ON R.lang = a.lang AND R.source = a.source AND R.item = b.source
+    UNION ALL SELECT lang, source, 'term', t, CAST({_f("p", "q")} AS BIGINT) FROM P WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM A) WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+@query("op11_source_divergence_audit", _AUDIT_SQL)
+def op11_source_divergence_audit(spark, d):
+    return divergence.divergence_audit(documents(spark, d))
+
+
+# Forward: the least (cost, audit) with which each place and state is reached; inserts follow every row.
+_REPAIR_SQL = f"""WITH RECURSIVE C AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.replace("CAST(doc_id AS VARCHAR)", "(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS d FROM conversations),
+  X AS (SELECT k, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS c FROM C WHERE d <> 0),
+  N AS (SELECT *, left(role, 1) AS o, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS e, row_number() OVER q AS i, lag(left(role, 1)) OVER q AS p,
+      row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, c) > 1 AS seen
+    FROM X WINDOW q AS (PARTITION BY k ORDER BY turn NULLS FIRST, sha256(role || ':' || text), c)),
+  F AS (SELECT *, CASE WHEN e = '' THEN 'b' WHEN seen THEN 'd' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM N),
+  S AS (SELECT unnest([0, 1, 3, 2]) AS s, unnest(['u', 'u', 'u', 'a']) AS o, unnest([2, 2, 2, 3]) AS t, unnest(['user', 'user', 'user', 'assistant']) AS role),
+  A AS (SELECT k, i, s, s AS t, 'D' AS edit, 3 AS cost, CAST([] AS VARCHAR[]) AS line FROM F, S
+    UNION ALL SELECT k, i, s, t, 'K', CAST(fault = 't' AS INT), [F.role || ':' || text] FROM F JOIN (SELECT s, o, t FROM S UNION ALL SELECT 0, 's', 1) S USING (o) WHERE fault NOT IN ('b', 'd')
+    UNION ALL SELECT k, i, s, t, 'R', 2 + CAST(fault = 't' AS INT), [S.role || ':' || text] FROM F, S WHERE fault NOT IN ('b', 'd')),
+  I AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+    (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])) v(s, t, cost, edit, line)),
+  W AS (SELECT k, CAST(0 AS BIGINT) AS i, t AS s, {{'cost': cost, 'audit': edit, 'lines': line}} AS b FROM (SELECT DISTINCT k FROM F), I WHERE s = 0
+    UNION ALL SELECT * FROM (SELECT W.k, A.i, I.t, min({{'cost': W.b.cost + A.cost + I.cost, 'audit': W.b.audit || A.edit || I.edit, 'lines': W.b.lines || A.line || I.line}})
+      FROM W JOIN A ON A.k = W.k AND A.i = W.i + 1 AND A.s = W.s JOIN I ON I.s = A.t GROUP BY 1, 2, 3)),
+  Z AS (SELECT k, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (p || o NOT IN ('su', 'ua', 'au')) AS illegal FROM F GROUP BY 1),
+  B AS (SELECT W.k, min(b) AS b FROM W JOIN Z ON Z.k = W.k AND W.i = n WHERE s IN (0, 3) GROUP BY 1)
+  SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+    CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost,
+    coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN Z ON Z.k = coalesce(CAST(conv_id AS VARCHAR), ' ') LEFT JOIN B ON B.k = Z.k"""
+
+
+@query("op12_conversation_repair", _REPAIR_SQL)
+def op12_conversation_repair(spark, d):
+    return conversations.repair(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+def _starts(phrase: str) -> str:
+    parts = phrase.split(" ")
+    return "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts)) + ")"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', {sorted(set(t.split(' ')))}, {licenses.needed(len(set(t.split(' '))))})"
+                           for i, (label, t) in enumerate(licenses.TEMPLATES))
+_LICENSE_SQL = f"""WITH L AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+  W AS (SELECT r, doc_id, regexp_extract_all(t, '{licenses.WORD}') AS w FROM L),
+  F AS (SELECT r, doc_id, len(w) AS n_words, {", ".join(f"{_starts(p)} AS {label}" for label, p in licenses.PHRASES)} FROM W),
+  B AS (SELECT *, {" || ".join(label for label, _ in licenses.PHRASES)} AS places,
+    {" || ".join(f"(CASE WHEN len({label}) > 0 THEN ['{label}'] ELSE CAST([] AS VARCHAR[]) END)" for label, _ in licenses.PHRASES)} AS base FROM F),
+  X AS (SELECT r, line, list_distinct(regexp_extract_all(b, '{licenses.WORD}')) AS w FROM
+    (SELECT r, unnest(string_split(t, chr(10))) AS b, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM L)),
+  T(id, label, words, need) AS (VALUES {_TEMPLATE_ROWS}),
+  H AS (SELECT r, line, label, len(list_intersect(w, words)) AS c, len(words) AS m FROM X, T WHERE len(list_intersect(w, words)) >= need),
+  S AS (SELECT r, list(DISTINCT label) AS found, max(c / m) AS score, count(DISTINCT line) AS n_blocks FROM H GROUP BY 1)
+  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word,
+    CAST(list_max(places) AS BIGINT) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(base || coalesce(found, CAST([] AS VARCHAR[])))), ',') AS labels, coalesce(score, 0.0) AS score,
+    CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks FROM B LEFT JOIN S USING (r)"""
+
+
+@query("op13_license_scan", _LICENSE_SQL)
+def op13_license_scan(spark, d):
+    return licenses.scan_licenses(documents(spark, d))
