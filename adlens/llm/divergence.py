@@ -17,8 +17,6 @@ and it is split by the strings themselves.  Text is joined back for the ranked t
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +31,11 @@ SCALE = 1_000_000_000
 DIGEST_BITS = 64
 # Pairs that are worked on, and sums that are held, at a time in one task.
 PAIRS = 1_000_000
-# A task writes out its counts when it holds this many (group, term) entries.
-ENTRIES = 400_000
+# A task writes out its counts when it holds so many different words (about 130 bytes each) or tokens (8 bytes at most).
+HELD_WORDS = 500_000
+HELD_TOKENS = 6_000_000
+# Texts are split into words in pieces of so many bytes.
+PIECE = 1 << 20
 # Probabilities are computed in two steps of long division, so that counts up to 9 * 10**13 stay exact.
 _STEPS = (100_000, 10_000)
 
@@ -44,41 +45,78 @@ _TERM_BYTES = bytes(0x20 if b < 0x80 and b not in _KEEP else b | 0x20 if 65 <= b
 
 def terms_of(text: bytes | None) -> list[bytes]:
     """Runs of ASCII letters and of characters beyond ASCII, in UTF-8, with A-Z lower-cased."""
-    return text.translate(_TERM_BYTES).split() if text else []
+    return [word for words in _pieces(text) for word in words] if text else []
+
+
+class _Numbers(dict):
+    """Words by the order in which they came."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _pieces(text: bytes):
+    """A text in pieces of about ``PIECE`` bytes, cut between terms."""
+    text = text.translate(_TERM_BYTES)
+    start = 0
+    while len(text) - start > PIECE:
+        stop = text.find(b" ", start + PIECE)
+        if stop < 0:
+            break
+        yield text[start:stop].split()
+        start = stop
+    yield text[start:].split()
 
 
-def _counter(digest_bits: int):
+_COUNTS = "lang_key bigint, group_key bigint, digest bigint, term string, n bigint, df bigint"
+
+
+def _counter(digest_bits: int, with_terms: bool = False):
+    """Rows (lang_key, group_key, digest, n, df) of what a task has counted, and (digest, term) once for each word it saw;
+    ``with_terms`` gives the term with each count instead."""
     mask = (1 << digest_bits) - 1
 
     def run(batches):
-        counts: dict[tuple[int, int], tuple[Counter, Counter]] = {}
+        numbers = _Numbers()
+        tokens: dict[tuple[int, int], tuple[list, list]] = {}
+
+        def rows(lang, group, digests, terms, n, df):
+            size = len(digests)
+            keys = [pa.nulls(size, pa.int64()) if k is None else pa.array(np.full(size, k, np.int64)) for k in (lang, group)]
+            return pa.RecordBatch.from_arrays(
+                [*keys, pa.array(digests), pa.nulls(size, pa.string()) if terms is None else terms, pa.array(n, pa.int64()), pa.array(df, pa.int64())],
+                names=["lang_key", "group_key", "digest", "term", "n", "df"])
 
         def taken():
-            for (lang, group), (n, df) in counts.items():
-                if not n:
-                    continue
-                words = list(n)
-                digests = np.fromiter((xxhash.xxh3_64_intdigest(w) & mask for w in words), np.uint64, len(words)).view(np.int64)
-                size = len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, lang, np.int64)), pa.array(np.full(size, group, np.int64)), pa.array(digests),
-                     pa.array(words, pa.binary()).view(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([df[w] for w in words], pa.int64())],
-                    names=["lang_key", "group_key", "digest", "term", "n", "df"])
-            counts.clear()
+            digests = np.fromiter((xxhash.xxh3_64_intdigest(w) & mask for w in numbers), np.uint64, len(numbers)).view(np.int64)
+            words = pa.array(list(numbers), pa.binary()).view(pa.string())
+            if not with_terms and len(digests):
+                none = np.zeros(len(digests), np.int64)
+                yield rows(None, None, digests, words, none, none)
+            for (lang, group), (all_ids, of_docs) in tokens.items():
+                n, df = (np.bincount(np.concatenate(ids), minlength=len(numbers)) for ids in (all_ids, of_docs))
+                held = np.flatnonzero(n)
+                yield rows(lang, group, digests[held], words.take(pa.array(held)) if with_terms else None, n[held], df[held])
+            numbers.clear()
+            tokens.clear()
 
         held = 0
         for batch in batches:
             langs, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, group, value in zip(langs, groups, batch.column(2)):
-                words = terms_of(value.as_py())
-                if not words:
+                text = value.as_py()
+                if not text:
+                    continue
+                found = [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)) for words in _pieces(text) if words]
+                if not found:
                     continue
-                n, df = counts.setdefault((lang, group), (Counter(), Counter()))
-                held -= len(n)
-                n.update(words)
-                df.update(set(words))
-                held += len(n)
-                if held >= ENTRIES:
+                ids = found[0] if len(found) == 1 else np.concatenate(found)
+                all_ids, of_docs = tokens.setdefault((lang, group), ([], []))
+                all_ids.append(ids)
+                of_docs.append(np.unique(ids))
+                held += len(ids)
+                if len(numbers) >= HELD_WORDS or held >= HELD_TOKENS:
                     yield from taken()
                     held = 0
         yield from taken()
@@ -115,20 +153,19 @@ def kept_terms(docs: DataFrame, seed: int, min_docs: int = MIN_DOCS, digest_bits
     ``part`` numbers the terms that share a digest; it is 0 where a digest has one term only.
     """
     keyed = docs.select(F.xxhash64(F.lit(seed), "lang").alias("lang_key"), F.xxhash64(F.lit(seed), "lang", "source").alias("group_key"), F.col("text").cast("binary"))
-    local = land(keyed.mapInArrow(_counter(digest_bits), "lang_key bigint, group_key bigint, digest bigint, term string, n bigint, df bigint"), "counts")
-    kept = land(_kept(local.withColumn("part", F.lit(0)), min_docs), "kept")
-    wanted = kept.select("digest").distinct()
-    names = land(local.select("digest", "term").join(wanted, "digest", "left_semi")
+    local = land(keyed.mapInArrow(_counter(digest_bits), _COUNTS), "counts")
+    kept = land(_kept(local.where("lang_key IS NOT NULL").withColumn("part", F.lit(0)), min_docs), "kept")
+    names = land(local.where("lang_key IS NULL").select("digest", "term").join(kept.select("digest").distinct(), "digest", "left_semi")
                  .groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "names")
     shared = names.where("term <> last").select("digest")
     single = names.select("digest", F.lit(0).alias("part"), "term")
     if shared.isEmpty():
         return kept, single
-    # A window per digest: it holds the terms that share one.
+    # What shares a digest is counted anew with its strings.  A window per digest holds the terms that share one.
+    again = land(keyed.mapInArrow(_counter(digest_bits, True), _COUNTS).join(shared, "digest", "left_semi"), "shared")
     of_digest = Window.partitionBy("digest").orderBy("term")
-    parts = land(local.join(shared, "digest", "left_semi").select("digest", "term").distinct()
-                 .withColumn("part", F.row_number().over(of_digest)), "parts")
-    split = _kept(local.join(parts, ["digest", "term"]), min_docs)
+    parts = land(again.select("digest", "term").distinct().withColumn("part", F.row_number().over(of_digest)), "parts")
+    split = _kept(again.join(parts, ["digest", "term"]), min_docs)
     both = land(kept.join(shared, "digest", "left_anti").select(*kept.columns).unionByName(split.select(*kept.columns)), "kept")
     return both, land(single.join(shared, "digest", "left_anti").select(*single.columns).unionByName(parts.select(*single.columns)), "names")
 

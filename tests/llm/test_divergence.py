@@ -81,18 +81,20 @@ def test_a_task_that_writes_in_parts_counts_the_same(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1] * len(rows)), pa.array([hash(r[2]) for r in rows]), pa.array([None if r[0] is None else r[0].encode() for r in rows])],
                                        names=["lang_key", "group_key", "text"])
 
-    def counted(limit):
-        monkeypatch.setattr(divergence, "ENTRIES", limit)
+    def counted(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(divergence, name, value)
         sums, parts = Counter(), 0
-        for part in divergence._counter(64)([batch]):
+        for part in divergence._counter(64, True)([batch]):
             parts += 1
             for r in part.to_pylist():
                 sums[r["group_key"], r["term"], "n"] += r["n"]
                 sums[r["group_key"], r["term"], "df"] += r["df"]
         return sums, parts
-    whole, few = counted(1_000_000)
-    parts, many = counted(10)
-    assert whole == parts and many > few
+    whole, few = counted()
+    for limits in ({"HELD_WORDS": 5}, {"HELD_WORDS": 10**6, "HELD_TOKENS": 30}, {"HELD_TOKENS": 10**6, "PIECE": 7}):
+        parts, many = counted(**limits)
+        assert whole == parts and (many > few or "PIECE" in limits)
 
 
 @settings(max_examples=200, deadline=None)
