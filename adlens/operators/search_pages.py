@@ -202,12 +202,16 @@ def page_summary(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         list_size(F.col("docs")).alias("n_rows"))
 
 
+def largest_price(docs: Column) -> Column:
+    """The largest price in a list of documents; NULL if none has one."""
+    amounts = F.transform(docs, lambda d: F.try_variant_get(d, "$.price.amount", "double"))
+    return F.array_max(F.filter(amounts, lambda a: a.isNotNull() & ~F.isnan(a)))
+
+
 def page_price_max(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Per page with rows: the largest price among its organic rows, found inside the row."""
-    amounts = F.transform("docs", lambda d: F.try_variant_get(d, "$.price.amount", "double"))
     return (parsed.where(list_size(F.col("docs")) > 0)
-            .select(*keep, F.array_max(F.filter(amounts, lambda a: a.isNotNull() & ~F.isnan(a))
-                                       ).alias("page_max")))
+            .select(*keep, largest_price(F.col("docs")).alias("page_max")))
 
 
 def listing_cards(listings: DataFrame, base: str, id_column: str = "ad_id",

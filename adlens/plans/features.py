@@ -8,11 +8,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from adlens.constants import (BINARY_FEATURES, CATEGORICAL_FEATURES, EMBEDDING_DIM, HIDDEN_DIMS, RIDGE_ALPHA, SEED,
-                              TFIDF_TERMS)
-from adlens.operators import models, neural, prepare, scale, tfidf, vocab
+                              MAX_PAGES, TFIDF_TERMS)
+from adlens.operators import merge, models, neural, prepare, scale, tfidf, vocab
 from adlens.plans.analysis import histogram_sql, rounded, scope
 from adlens.plans.jobs import evaluate_price_model, train_price_model
-from adlens.plans.registry import L, P, S, query
+from adlens.plans.registry import D, L, P, S, query
+from adlens.plans.search import _PER_PAGE
 from adlens.session import scratch_path
 from adlens.sources import fixtures, tables
 from adlens.sources.fixtures import listings
@@ -423,11 +424,39 @@ def score_frozen_network(spark, d):
 def stream_dedupe(spark, d):
     """The stream gives what ``collect_listings`` gives, row for row."""
     pages = streams.page_stream(spark, fixtures.search_pages_path(spark, d))
-    return streams.merge_sightings(streams.run_sightings(pages, "sightings")).select(
+    table = streams.sightings_table(pages, scratch_path(spark, "sightings-table"))
+    return streams.merge_sightings(pages, table, "sightings").select(
         "ad_id", "search_query", "heading", "location", "price_amount", "is_promoted", "num_images",
         "page_current", "organisation_name")
 
 
+@query("crawl_progress", f"""{_PER_PAGE}, T AS (SELECT search_query, range_no, max(page) AS last_page, count(*) AS n_pages FROM G
+    WHERE n_docs > 0 GROUP BY ALL),
+  M AS (SELECT search_query, range_no, CASE WHEN any_value(range_no) = 0 THEN 0 ELSE
+    CAST(floor(min(price_amount)) AS BIGINT) END AS price_from FROM P GROUP BY search_query, range_no)
+  SELECT T.search_query, T.range_no, M.price_from, T.last_page, CAST(floor(G.page_max) AS BIGINT) AS next_price_from,
+    coalesce(floor(G.page_max) > M.price_from, false) AS advanced, CAST(n_pages AS INT) AS n_pages,
+    T.last_page >= {MAX_PAGES} OR EXISTS (SELECT 1 FROM E WHERE E.search_query = T.search_query AND E.range_no = T.range_no) AS ended
+  FROM T JOIN G ON G.search_query = T.search_query AND G.range_no = T.range_no AND G.page = T.last_page
+  JOIN M ON M.search_query = T.search_query AND M.range_no = T.range_no""")
+def crawl_progress(spark, d):
+    """Cursors and ends of all price ranges, from state kept as the pages land."""
+    return streams.crawl_progress(streams.page_stream(spark, fixtures.search_pages_path(spark, d)), "crawl-progress")
+
+
+@query("merge_first_sightings", f"""{D} SELECT ad_id, search_query, heading, price_amount, seq_part, seq_supp FROM D""")
+def merge_first_sightings(spark, d):
+    """Three merges into a stored table leave what one batch over all rows gives."""
+    columns = ["search_query", "heading", "price_amount", "seq_part", "seq_supp"]
+    rows = listings(spark, d).withColumn("price_missing", F.col("price_amount").isNull())
+    order = ["search_query", *fixtures.CRAWL_ORDER]
+    wanted = rows.select(*dict.fromkeys(["ad_id", *columns, *order]))
+    table = merge.MergedTable(spark, scratch_path(spark, "first-sightings"), wanted.schema, ["ad_id"], order, 16)
+    for number in range(3):
+        table.merge(wanted.where(F.pmod(F.xxhash64("seq_supp"), F.lit(3)) == number), number)
+    return table.read().select("ad_id", *columns)
+
+
 @query("stream_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark, d):
     events = tables.read_table(spark, d, "events")

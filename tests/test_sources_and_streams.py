@@ -87,25 +87,97 @@ def test_stream_equals_batch(spark, tmp_path):
     """Every column of every row, over several micro-batches."""
     from adlens.operators.search_pages import collect_listings
     path = str(tmp_path / "pages")
-    fixtures.search_pages(spark, SF).repartition(3).write.parquet(path)
-    written = streams.run_sightings(streams.page_stream(spark, path, files_per_batch=1), "sightings")
-    assert written.select("_batch").distinct().count() > 1
+    # Files of pages in no order of the crawl: 12 batches, better places arrive late.
+    fixtures.search_pages(spark, SF).repartition(12, F.xxhash64("page", "search_query")).write.parquet(path)
+    pages = streams.page_stream(spark, path, files_per_batch=1)
+    table = streams.sightings_table(pages, str(tmp_path / "table"), 8)
+    merged = streams.merge_sightings(pages, table, "sightings", "3650 days")
+    assert len(table.commits()) > 5
     batch = collect_listings(fixtures.search_pages(spark, SF))
-    merged = streams.merge_sightings(written).select(*batch.columns).withColumn("extras", F.to_json("extras"))
+    merged = merged.select(*batch.columns).withColumn("extras", F.to_json("extras"))
     batch = batch.withColumn("extras", F.to_json("extras"))
     assert merged.exceptAll(batch).count() == 0 and batch.exceptAll(merged).count() == 0
 
 
+PAGES = "search_query STRING, range_no INT, price_from BIGINT, page INT, fetched_at TIMESTAMP, html STRING"
+
+
+def land_pages(spark, folder, rows):
+    """One file, and so one micro-batch, per row: (page, day, html)."""
+    import datetime as dt
+    for n, (number, day, html) in enumerate(rows):
+        row = ("q", 0, 0, number, dt.datetime(2024, 1, 1) + dt.timedelta(days=day, minutes=n), html)
+        spark.createDataFrame([row], PAGES).coalesce(1).write.mode("append").parquet(folder)
+
+
 def test_an_ad_of_two_batches_keeps_its_first_place(spark, tmp_path, page):
-    """The better place arrives later."""
-    schema = "search_query STRING, range_no INT, page INT, fetched_at TIMESTAMP, html STRING"
+    """The better place arrives later and gives a corrected row."""
+    folder = str(tmp_path / "pages")
+    land_pages(spark, folder, [(2, 0, page([{"ad_id": "a", "heading": "later place"}])), (1, 0, page([{"ad_id": "a", "heading": "first place"}])),
+                               (3, 0, page([{"ad_id": "a", "heading": "third place"}]))])
+    pages = streams.page_stream(spark, folder, files_per_batch=1)
+    table = streams.sightings_table(pages, str(tmp_path / "table"), 4)
+    seen = []
+    real = table.merge
+
+    def watched(rows, batch):
+        seen.extend(r.heading for r in rows.collect())
+        return real(rows, batch)
+    table.merge = watched
+    assert [r.heading for r in streams.merge_sightings(pages, table, "two").collect()] == ["first place"]
+    assert sorted(seen) in (["first place", "first place", "later place"], ["first place", "first place", "first place"], ["first place", "first place", "third place"],
+                            ["first place", "later place", "later place"], ["first place", "later place", "third place"], ["first place", "third place", "third place"])
+
+
+def test_state_is_bounded_by_the_watermark(spark, tmp_path, page):
+    """Each day brings ten new ads; only those of the last days are held, and none is lost."""
+    folder = str(tmp_path / "pages")
+    land_pages(spark, folder, [(1, day, page([{"ad_id": f"{day}-{i}", "heading": "x"} for i in range(10)])) for day in range(12)])
+    pages = streams.page_stream(spark, folder, files_per_batch=1)
+    reports = []
+    merged = streams.merge_sightings(pages, streams.sightings_table(pages, str(tmp_path / "table"), 4), "bounded", "1 day", "1 day", reports)
+    assert merged.count() == 120
+    held = [r["stateOperators"][0]["numRowsTotal"] for r in reports if r["stateOperators"]]
+    assert max(held) <= 50 and held[-1] <= 40
+
+
+def test_crawl_progress_in_any_order_of_arrival(spark, tmp_path, page):
+    def priced(*amounts):
+        return page([{"ad_id": str(i), "price": {"amount": a}} for i, a in enumerate(amounts)])
+    rows = [(3, 0, page([])), (1, 0, priced(5, 7.9)), (4, 0, priced(99)), (2, 0, priced(8, None, 30.6))]
+    for n, order in enumerate([rows, rows[::-1], rows[1:] + rows[:1]]):
+        folder = str(tmp_path / f"pages{n}")
+        land_pages(spark, folder, order)
+        got = streams.crawl_progress(streams.page_stream(spark, folder, files_per_batch=1), f"any{n}").collect()
+        assert [(r.last_page, r.next_price_from, r.advanced, r.n_pages, r.ended) for r in got] == [(4, 99, True, 2, True)]
+    folder = str(tmp_path / "stuck")
+    land_pages(spark, folder, [(1, 0, priced(0, 0.5)), (2, 0, priced(None))])
+    assert [(r.next_price_from, r.advanced, r.ended) for r in streams.crawl_progress(streams.page_stream(spark, folder), "stuck").collect()] == [(None, False, False)]
+    capped = streams.crawl_progress(streams.page_stream(spark, folder), "capped", max_pages=1).collect()
+    assert [(r.last_page, r.next_price_from, r.advanced, r.n_pages, r.ended) for r in capped] == [(1, 0, False, 1, True)]
+    with pytest.raises(ValueError, match="62"):
+        streams.crawl_progress_stream(streams.page_stream(spark, folder), 63)
+
+
+def test_crawl_state_expires(spark, tmp_path, page):
     import datetime as dt
-    for n, (number, heading) in enumerate([(2, "later place"), (1, "first place")]):
-        row = ("q", 0, number, dt.datetime(2024, 1, 1 + n), page([{"ad_id": "a", "heading": heading}]))
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
-    written = streams.run_sightings(streams.page_stream(spark, str(tmp_path / "pages"), files_per_batch=1), "two")
-    assert written.count() == 2
-    assert [r.heading for r in streams.merge_sightings(written).collect()] == ["first place"]
+    folder = str(tmp_path / "pages")
+    for n in range(8):
+        row = (f"q{n}", 0, 0, 1, dt.datetime(2024, 1, 1) + dt.timedelta(days=n), page([{"ad_id": "a", "price": {"amount": 3}}]))
+        spark.createDataFrame([row], PAGES).coalesce(1).write.mode("append").parquet(folder)
+    reports = []
+    got = streams.crawl_progress(streams.page_stream(spark, folder, files_per_batch=1), "expiry", delay="1 hour", hold_hours=24, progress=reports)
+    assert got.count() == 8
+    held = [r["stateOperators"][0]["numRowsTotal"] for r in reports if r["stateOperators"]]
+    assert max(held) <= 4
+
+
+def test_streams_without_pages(spark, tmp_path):
+    folder = str(tmp_path / "pages")
+    spark.createDataFrame([], PAGES).write.parquet(folder)
+    pages = streams.page_stream(spark, folder)
+    assert streams.merge_sightings(pages, streams.sightings_table(pages, str(tmp_path / "table")), "none").count() == 0
+    assert streams.crawl_progress(pages, "none").count() == 0
 
 
 def test_days_beyond_the_watermark_are_closed(spark, tmp_path):
