@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adlens.constants import (BOOLEAN_COLUMNS, BRANDS, CATEGORY_RULES, CONDITION_RULES, DEFAULT_BRAND,
                               DEFAULT_CATEGORY, DEFAULT_CONDITION, IMAGE_BIN_LABELS, PERCENTILES, WEEKDAYS, DISCRETE_PRICE_FEATURES, PRICE_FEATURES, TITLE_FEATURES)
 from adlens.functions.text import combined_text, first_rule, normalise_title, word_count
-from adlens.operators import derive, prepare, profile
+from adlens.operators import derive, information, prepare, profile
 from adlens.operators.models import with_split
 from adlens.operators.scale import label_encode
 from adlens.plans.registry import CRAWL, D, L, S, query
@@ -691,3 +691,51 @@ def mutual_information(spark, d):
     {_nan_free('r')} AS r FROM MI LEFT JOIN CO ON CO.feature = MI.feature""")
 def feature_shortlist(spark, d):
     return rounded(profile.feature_shortlist(titled(spark, d), _TITLE, _FEATURES, _FLAGS), 6, "mi", "r")
+
+
+# In millionths, so that distances are whole numbers in both engines.
+_MILLIONTHS = "CAST(round(log_price * 1000000) AS BIGINT)"
+
+
+def _digamma_sql(n: str) -> str:
+    table = [-0.57721566490153286061]
+    for i in range(1, 15):
+        table.append(table[-1] + 1 / i)
+    x = f"CAST({n} AS DOUBLE)"
+    q = f"(1 / ({x} * {x}))"
+    return (f"CASE WHEN {n} < 16 THEN list_extract({table}, CAST({n} AS INT)) ELSE "
+            f"ln({x}) - 0.5 / {x} - {q} * (1.0 / 12 - {q} * (1.0 / 120 - {q} * (1.0 / 252 - {q} * (1.0 / 240 - {q} / 132)))) END")
+
+
+_LABELLED = " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, coalesce({c}, 'Unknown') AS label, {_MILLIONTHS} AS y FROM T" for c in TITLE_FEATURES]
+    + [f"SELECT '{c}', CAST(CAST(coalesce({c}, false) AS INT) AS VARCHAR), {_MILLIONTHS} FROM T" for c in DISCRETE_PRICE_FEATURES])
+_GAP = "greatest(y - lag(y, {0}) OVER w, lead(y, {1}) OVER w - y)"
+_ONE_SIDED = ("lead(y, {0}) OVER w - y", "y - lag(y, {0}) OVER w")
+
+
+def _radius_sql(k: int) -> str:
+    """Distance to the k-th nearest in a sorted partition; neighbours beyond its ends are null and do not count."""
+    two_sided = ["CASE WHEN lag(y, {0}) OVER w IS NOT NULL AND lead(y, {1}) OVER w IS NOT NULL THEN {2} END".format(j, k - j, _GAP.format(j, k - j))
+                 for j in range(1, k)]
+    return f"least({', '.join([*(e.format(k) for e in _ONE_SIDED), *two_sided])})"
+
+
+@query("neighbour_information_discrete", f"""{T}, V AS ({_LABELLED}), C AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS c FROM V),
+  R AS (SELECT feature, y, c, least(3, c - 1) AS k, CASE WHEN c = 2 THEN {_radius_sql(1)} WHEN c = 3 THEN {_radius_sql(2)} ELSE {_radius_sql(3)} END AS r
+    FROM C WHERE c > 1 WINDOW w AS (PARTITION BY feature, label ORDER BY y)),
+  M AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY y RANGE BETWEEN greatest(r - 1, 0) PRECEDING AND greatest(r - 1, 0) FOLLOWING) AS m FROM R),
+  N AS (SELECT feature, count(*) AS n, avg({_digamma_sql("k")}) AS a, avg({_digamma_sql("c")}) AS b, avg({_digamma_sql("m")}) AS d FROM M GROUP BY 1)
+  SELECT feature, round(greatest({_digamma_sql("n")} + a - b - d, 0), 6) AS mi FROM N""")
+def neighbour_information_discrete(spark, d):
+    """Nearest-neighbour information of the discrete features, distances in millionths of the log price."""
+    rows = titled(spark, d).select(F.expr(_MILLIONTHS).cast("double").alias("y"), F.explode(F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit("Unknown")).alias("label")) for c in _TITLE],
+        *[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("int").cast("string"), F.lit("0")).alias("label")) for c in _FLAGS])).alias("f"))
+    return rounded(information.discrete_information(rows.select("f.*", "y")), 6, "mi")
+
+
+@query("neighbour_information")
+def neighbour_information(spark, d):
+    """All features against the log price; in SQL every pair of rows would be compared."""
+    return rounded(information.neighbour_information(titled(spark, d), [*_TITLE, *_FLAGS], _CONTINUOUS), 6, "mi")
