@@ -11,8 +11,10 @@ from __future__ import annotations
 from array import array
 from functools import lru_cache
 
-from adlens.llm.common import BoundedTable
+from adlens.llm.common import KEPT_LENGTH, BoundedTable
 
+# A worker keeps the ids of at most this many words (about 200 bytes each).
+WORDS_HELD = 1_000_000
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 _ENDINGS = ".,;:!?"
 # Letters below this one are the same in composed form and have plain lower cases.
@@ -41,7 +43,7 @@ def _in_symbols(piece: str) -> str:
 
 
 def _plain_word(word: str) -> bool:
-    return word.isalpha() and max(word) < _FIRST_ODD_LETTER
+    return word.isalpha() and (word.isascii() or max(word) < _FIRST_ODD_LETTER)
 
 
 def _word_cut_matters(text: str) -> bool:
@@ -49,18 +51,32 @@ def _word_cut_matters(text: str) -> bool:
     return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
-class _Words(BoundedTable):
-    """Ids of words; one with punctuation at its end is put together from its letters and the ending, and not kept."""
+class WordIds(dict):
+    """Ids of words, computed when missing.  Entries lie in two generations; when the younger ones of all tables together
+    reach half of ``WORDS_HELD`` they become the old ones, and what is used again comes back, so frequent words stay."""
 
-    def __init__(self, compute, plain, endings: BoundedTable):
-        super().__init__(compute)
-        self.plain, self.endings = plain, endings
+    held = 0
+    tables: list[WordIds] = []
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+        self.old: dict[str, bytes] = {}
+        WordIds.tables.append(self)
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.rstrip(_ENDINGS)
-        if len(letters) < len(word) and self.plain(letters):
-            return self[letters] + self.endings[word[len(letters):]]
-        return super().__missing__(word)
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.compute(word)
+        if len(word) <= KEPT_LENGTH:
+            if 2 * WordIds.held >= WORDS_HELD:
+                for table in WordIds.tables:
+                    table.old = dict(table)
+                    table.clear()
+                WordIds.held = 0
+            self[word] = ids
+            WordIds.held += 1
+        return ids
 
 
 class Encoder:
@@ -71,17 +87,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.word_level = word_level
-        self.endings = BoundedTable(self._piece)
-        plain = _plain_word if word_level else str.isalpha
-        self.first = _Words(self._word if word_level else self._chunk, plain, self.endings)
-        self.spaced = _Words(self._spaced, plain, self.endings)
+        self.tokenize = self.model.tokenize
+        # What the worker has kept for an operator before this one is not needed now.
+        for table in BoundedTable.tables:
+            table.clear()
+        BoundedTable.held = 0
+        self.endings = WordIds(self._piece)
+        self.first = WordIds(self._word if word_level else self._chunk)
+        self.spaced = WordIds(self._spaced)
         self.line_feed = b"" if word_level else self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _cut_by_library(self, chunk: str) -> bytes:
         if self.tokenizer.normalizer is not None:
@@ -90,16 +110,29 @@ class Encoder:
             return b""
         return b"".join([self._piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
 
-    # A word of letters is one piece; all else is cut by the library.
+    # A word of letters is one piece, and so are the endings behind it; all else is cut by the library.  Symbols of ASCII
+    # letters are the letters.
 
     def _word(self, word: str) -> bytes:
-        return self._piece(_in_symbols(word.lower())) if _plain_word(word) else self._cut_by_library(word)
+        letters = word.rstrip(_ENDINGS)
+        if not _plain_word(letters):
+            return self._cut_by_library(word)
+        lower = letters.lower()
+        ids = self._piece(lower if lower.isascii() else _in_symbols(lower))
+        return ids if len(letters) == len(word) else ids + self.endings[word[len(letters):]]
 
     def _chunk(self, chunk: str) -> bytes:
-        return self._piece(_in_symbols(chunk)) if chunk.isalpha() else self._cut_by_library(chunk)
+        return self._lettered("", chunk)
 
     def _spaced(self, word: str) -> bytes:
-        return self._piece(_in_symbols(" " + word)) if word.isalpha() else self._cut_by_library(" " + word)
+        return self._lettered("\u0120", word)
+
+    def _lettered(self, before: str, word: str) -> bytes:
+        letters = word.rstrip(_ENDINGS)
+        if not letters.isalpha():
+            return self._cut_by_library(" " + word if before else word)
+        ids = self._piece(before + (letters if letters.isascii() else _in_symbols(letters)))
+        return ids if len(letters) == len(word) else ids + self.endings[word[len(letters):]]
 
     def ids(self, text: str | None) -> bytes:
         if not text:
