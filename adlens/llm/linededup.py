@@ -22,42 +22,71 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.llm.common import land, list_column, texts
 
 MIN_WORDS = 25
-# A line is cut after the space that follows a sentence end; Python and Java read the pattern alike.
-SENTENCE_CUT = r"""(?<=[.!?][\x20\x09\x0B-\x0D])|(?<=[.!?]["')\]”’»][\x20\x09\x0B-\x0D])"""
-_CUT = re.compile(SENTENCE_CUT)
+# A line is cut after the space that follows a sentence end; the pattern finds the ends of pieces and lines in UTF-8.
+_PIECE_END = re.compile(rb"""\n|[.!?](?:["')\]]|\xe2\x80[\x9d\x99]|\xc2\xbb)?[\x20\x09\x0B-\x0D]""")
+_LINE_END = re.compile(rb"\n")
+# An owner's lines go to one task per so many documents that are aligned with it.
+PAIRS_PER_TASK = 1000
+# Hashes of runs are sums of line hashes times powers of this number.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 # The place of a piece: its line in the upper half, its number in the line in the lower one.
 PLACE_BITS = 32
 
 
-def line_keys(text: str | None, min_words: int, sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
+
+
+_UP, _DOWN = _powers(4096)
+
+
+def line_keys(text: str | bytes | None, min_words: int, sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, word counts and places of the pieces with words, and the hashes of the runs that start at them."""
+    global _UP, _DOWN
+    data = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text) or b""
     hashes, counts, places = [], [], []
-    for number, line in enumerate((text or "").split("\n")):
-        for at, piece in enumerate(_CUT.split(line) if sentences else [line]):
-            words = piece.encode("utf-8", "surrogatepass").split()
-            if words:
-                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                counts.append(len(words))
-                places.append((number << PLACE_BITS) + at)
-    line = np.array(hashes, np.uint64)
-    runs, last, held = [], 0, 0
-    for first in range(len(hashes)):
-        while last < len(hashes) and held < min_words:
-            held += counts[last]
-            last += 1
-        if held < min_words:
-            break
-        runs.append(xxhash.xxh3_64_intdigest(line[first:last].tobytes()))
-        held -= counts[first]
-    return line.view(np.int64), np.array(counts, np.int32), np.array(places, np.int64), \
-        np.array(sorted(set(runs)), np.uint64).view(np.int64)
+    start = place = 0
+    digest = xxhash.xxh3_64_intdigest
+    for match in (_PIECE_END if sentences else _LINE_END).finditer(data):
+        end = match.end()
+        words = data[start:end].split()
+        if words:
+            hashes.append(digest(b" ".join(words)))
+            counts.append(len(words))
+            places.append(place)
+        start = end
+        if data[end - 1] == 10:
+            place = ((place >> PLACE_BITS) + 1) << PLACE_BITS
+        else:
+            place += 1
+    words = data[start:].split()
+    if words:
+        hashes.append(digest(b" ".join(words)))
+        counts.append(len(words))
+        places.append(place)
+    line, count = np.array(hashes, np.uint64), np.array(counts, np.int32)
+    runs = np.empty(0, np.uint64)
+    held = np.concatenate([np.zeros(1, np.int64), np.cumsum(count, dtype=np.int64)])
+    if held[-1] >= min_words:
+        if len(line) >= len(_UP):
+            _UP, _DOWN = _powers(2 * len(line))
+        # The least end with enough words, for every start that has one.
+        first = np.arange(int(np.searchsorted(held, held[-1] - min_words, "right")))
+        last = np.searchsorted(held, held[first] + min_words)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * _UP[:len(line)], dtype=np.uint64)])
+        runs = np.unique((sums[last] - sums[first]) * _DOWN[first] ^ (last - first).astype(np.uint64))
+    return line.view(np.int64), count, np.array(places, np.int64), runs.view(np.int64)
 
 
 def patience_matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -175,44 +204,62 @@ def _aligned(min_words: int):
         for batch in batches:
             names = ["later", "later_hash", "lines", "counts", "places", "owner_lines"]
             columns = [batch.column(n) for n in names]
-            gone = []
+            gone, words = [], []
             for lines, counts, places, owner in zip(*(c.to_pylist() for c in columns[2:])):
-                gone.append(np.array([places[i] for i in common_blocks(lines, owner, counts, min_words)], np.int64))
-            yield pa.RecordBatch.from_arrays([columns[0], columns[1], list_column(gone, pa.int64())],
-                                             names=["doc_id", "text_hash", "gone"])
+                at = range(len(lines)) if lines == owner and sum(counts) >= min_words else common_blocks(lines, owner, counts, min_words)
+                gone.append(np.array([places[i] for i in at], np.int64))
+                words.append(np.array([counts[i] for i in at], np.int32))
+            yield pa.RecordBatch.from_arrays([columns[0], columns[1], list_column(gone, pa.int64()), list_column(words, pa.int32())],
+                                             names=["doc_id", "text_hash", "gone", "words"])
     return run
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
-    """doc_id, text_hash, gone (ascending places of pieces to delete) for documents that lose some."""
+_LINES = "doc_id bigint, text_hash bigint, lines array<bigint>, counts array<int>, places array<bigint>, runs array<bigint>, n_lines bigint"
+
+
+def _lined(docs: DataFrame, min_words: int, sentences: bool) -> DataFrame:
     def lines(batches):
         for batch in batches:
             found = [line_keys(t, min_words, sentences) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[list_column([f[i] for f in found], kind) for i, kind in
-                                                    enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]],
-                names=["doc_id", "text_hash", "lines", "counts", "places", "runs"])
-
-    source = docs.where("doc_id IS NOT NULL") \
-        .select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    lined = land(source.mapInArrow(lines, "doc_id bigint, text_hash bigint, lines array<bigint>, counts array<int>, "
-                                          "places array<bigint>, runs array<bigint>"), "lines")
-    keyed = lined.select(F.struct("doc_id", "text_hash").alias("doc"), F.explode("runs").alias("run"))
-    owners = land(keyed.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("_last"))
-                  .where("owner <> _last").drop("_last"), "owners")
-    pairs = land(keyed.join(owners, "run").where("doc <> owner").select("doc", "owner").distinct()
-                 .select(F.col("doc.doc_id").alias("later"), F.col("doc.text_hash").alias("later_hash"),
-                         F.col("owner.doc_id").alias("owner"), F.col("owner.text_hash").alias("owner_hash")), "pairs")
+                                                    enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+                 pa.array([len(np.unique(f[2] >> PLACE_BITS)) for f in found], pa.int64())],
+                names=["doc_id", "text_hash", "lines", "counts", "places", "runs", "n_lines"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash")) \
+        .mapInArrow(lines, _LINES)
+
+
+def deletions(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, gone (ascending places of pieces to delete), removed_words for documents that lose some."""
+    known = lined.where("doc_id IS NOT NULL")
+    keyed = known.select("doc_id", "text_hash", F.explode("runs").alias("run"))
+    # Aggregates of longs are hashed; the owner's hash is looked for among the shared runs alone.
+    # Both are written before they are joined, so that a hot run's rows can be split.
+    shared = land(keyed.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("l"), F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
+                  .where("owner < l OR a < b").select("run", "owner"), "shared")
+    rows = land(keyed.join(shared, "run"), "rows")
+    owners = land(rows.where("doc_id = owner").groupBy("run").agg(F.min("text_hash").alias("owner_hash")), "owners")
+    pairs = land(rows.join(owners, "run").where("doc_id <> owner OR text_hash <> owner_hash").select(
+        F.col("doc_id").alias("later"), F.col("text_hash").alias("later_hash"), "owner", "owner_hash").distinct(), "pairs")
+    # A hot owner's documents are dealt to several tasks, each with its lines.
+    owner_key = ["owner", "owner_hash"]
+    dealt = pairs.groupBy(*owner_key).agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("int").alias("tasks"))
     # Repeated rows have equal lines; one of each suffices.
-    single = lined.dropDuplicates(["doc_id", "text_hash"])
+    single = known.dropDuplicates(["doc_id", "text_hash"])
     later = single.select(F.col("doc_id").alias("later"), F.col("text_hash").alias("later_hash"), "lines", "counts", "places")
-    owner = single.select(F.col("doc_id").alias("owner"), F.col("text_hash").alias("owner_hash"), F.col("lines").alias("owner_lines"))
-    matched = pairs.join(later, ["later", "later_hash"]).join(owner, ["owner", "owner_hash"]) \
+    owner = single.select(F.col("doc_id").alias("owner"), F.col("text_hash").alias("owner_hash"), F.col("lines").alias("owner_lines")) \
+        .join(dealt, owner_key).select("*", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")).drop("tasks")
+    matched = pairs.join(dealt, owner_key).withColumn("task", F.pmod(F.xxhash64("later", "later_hash"), F.col("tasks")).cast("int")).drop("tasks") \
+        .join(later, ["later", "later_hash"]).join(owner, [*owner_key, "task"]) \
         .select("later", "later_hash", "lines", "counts", "places", "owner_lines") \
-        .mapInArrow(_aligned(min_words), "doc_id bigint, text_hash bigint, gone array<bigint>")
+        .mapInArrow(_aligned(min_words), "doc_id bigint, text_hash bigint, gone array<bigint>, words array<int>")
     # A document has at most as many owners as pieces, so a group is bounded by the document itself.
-    return matched.where(F.size("gone") > 0).groupBy("doc_id", "text_hash") \
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    both = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("gone", "words"))))
+    once = F.transform(F.array("g"), lambda g: F.filter(g, lambda x, i: (i == 0) | (x["gone"] != F.get(g, i - 1)["gone"])))[0]
+    return matched.where(F.size("gone") > 0).groupBy("doc_id", "text_hash").agg(both.alias("g")).withColumn("g", once) \
+        .select("doc_id", "text_hash", F.col("g.gone").alias("gone"), F.aggregate("g.words", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("removed_words"))
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
@@ -221,38 +268,82 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, sentences
 
     Without ``sentences`` lines are not cut, and a passage inside a longer line stays.
     Null and empty texts and rows without doc_id stay as they are.  Copies of one text lose all lines but in
-    the earliest document; identical rows of one doc_id lose the same lines.  Columns of ``docs`` with the
+    the earliest document; identical rows of one doc_id lose the same lines.  Texts may be of any length.  Of documents that
+    hold a passage equally, the one with the least doc_id, then the least text hash, owns it.  Columns of ``docs`` with the
     added names are replaced.  An empty table gives an empty one.
     """
     added = ["n_lines", "removed_lines", "removed_words"]
-    gone = land(deletions(docs, min_words, sentences), "gone")
+    lined = land(_lined(docs, min_words, sentences), "lines")
+    gone = land(deletions(lined, min_words), "gone")
     rows = docs.drop(*added).withColumn("_hash", F.xxhash64("text"))
     # The deletions grow with the corpus: they meet the texts by key at every size and are never broadcast.
-    mine = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("gone").alias("_gone")).hint("merge")
-    joined = rows.join(mine, (rows["doc_id"].cast("bigint") == mine["_id"]) & (rows["_hash"] == mine["_text_hash"]), "left")
-    parts = F.split("text", "\n", -1)
-    words = r"[^\x20\x09-\x0D]+"
-    changed = F.col("_gone").isNotNull()
-
-    def rest(line, number):
-        left = F.array_join(F.filter(F.split(line, SENTENCE_CUT, -1) if sentences else F.array(line), lambda _, at: ~F.array_contains(
-            "_gone", F.shiftleft(number.cast("bigint"), PLACE_BITS) + at)), "")
-        return F.when(~F.array_contains("_cut", number.cast("bigint")), line).when(left.rlike(words), left)
-
-    # Lines that go as a whole are null, which array_join leaves out.
-    edited = joined.withColumn("_cut", F.array_distinct(F.transform("_gone", lambda g: F.shiftright(g, PLACE_BITS)))) \
-        .withColumn("_lines", F.when(changed, F.transform(parts, rest))) \
-        .withColumn("_new", F.when(changed, F.array_join("_lines", "\n")).otherwise(F.col("text")))
-    out = edited.withColumns({
-        "n_lines": F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(words))), F.lit(0)).cast("bigint"),
-        "removed_lines": F.when(changed, F.size(F.filter("_lines", lambda x: x.isNull()))).otherwise(0).cast("bigint"),
-        "removed_words": F.when(changed, F.regexp_count("text", F.lit(words)) - F.regexp_count("_new", F.lit(words))).otherwise(0).cast("bigint")})
-    columns = []
-    for field in docs.drop(*added).schema:
-        if field.name == "text":
-            columns.append(F.col("_new").alias("text"))
-        elif field.name == "n_chars":
-            columns.append(F.when(changed, F.length("_new")).otherwise(F.col("n_chars")).cast(field.dataType).alias("n_chars"))
+    key = ["doc_id", "text_hash"]
+    lines = lined.groupBy(*key).agg(F.max("n_lines").alias("_n"))
+    mine = lines.join(gone, key, "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), "_n",
+                                                F.col("gone").alias("_gone"), F.col("removed_words").alias("_words")).hint("merge")
+    joined = rows.join(mine, rows["doc_id"].cast("bigint").eqNullSafe(mine["_id"]) & rows["_hash"].eqNullSafe(mine["_text_hash"]))
+    kept = docs.drop(*added)
+    schema = T.StructType([*kept.schema, *[T.StructField(name, T.LongType()) for name in added]])
+    return joined.select(*kept.columns, "_gone", F.col("_n"), F.coalesce("_words", F.lit(0)).cast("bigint").alias("_words")) \
+        .mapInArrow(_edit(schema, sentences), schema)
+
+
+def without_pieces(text: str, gone: set[int], sentences: bool = True) -> tuple[str, int]:
+    """A text without the pieces at some places, and how many lines go with them."""
+    data = text.encode("utf-8", "surrogatepass")
+    out: list[bytes] = []
+    line: list[bytes] = []
+    start = place = dropped = 0
+    touched = False
+
+    def closed() -> int:
+        left = b"".join(line)
+        if touched and not left.split():
+            return 1
+        out.append(left)
+        return 0
+
+    for match in (_PIECE_END if sentences else _LINE_END).finditer(data):
+        end = match.end()
+        ends_line = data[end - 1] == 10
+        if place in gone:
+            touched = True
+        else:
+            line.append(data[start:end - ends_line])
+        start = end
+        if ends_line:
+            dropped += closed()
+            line, touched = [], False
+            place = ((place >> PLACE_BITS) + 1) << PLACE_BITS
         else:
-            columns.append(F.col(field.name))
-    return out.select(*columns, *added)
+            place += 1
+    if place in gone:
+        touched = True
+    else:
+        line.append(data[start:])
+    dropped += closed()
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), dropped
+
+
+def _edit(schema: T.StructType, sentences: bool):
+    """Texts that lose nothing pass as they are."""
+    names = [f.name for f in schema]
+    at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            n = len(names) - 3
+            columns = list(batch.columns[:n])
+            marks = batch.column(n)
+            changed = marks.is_valid()
+            which = np.flatnonzero(changed.to_numpy(zero_copy_only=False))
+            done = [without_pieces(columns[at][i].as_py(), set(marks[i].as_py()), sentences) for i in which.tolist()]
+            lost = np.zeros(batch.num_rows, np.int64)
+            if len(which):
+                lost[which] = [d for _, d in done]
+                columns[at] = pc.replace_with_mask(columns[at], changed, pa.array([t for t, _ in done], columns[at].type))
+                if chars is not None:
+                    columns[chars] = pc.replace_with_mask(columns[chars], changed, pa.array([len(t) for t, _ in done]).cast(columns[chars].type))
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(n + 1), pa.array(lost), batch.column(n + 2)], names=names)
+    return run

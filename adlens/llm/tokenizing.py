@@ -14,7 +14,7 @@ from functools import lru_cache
 from adlens.llm.common import KEPT_LENGTH, BoundedTable
 
 # A worker keeps the ids of at most this many words (about 200 bytes each).
-WORDS_HELD = 1_000_000
+WORDS_HELD = 800_000
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 _ENDINGS = ".,;:!?"
 # Letters below this one are the same in composed form and have plain lower cases.
@@ -53,9 +53,12 @@ def _word_cut_matters(text: str) -> bool:
 
 class WordIds(dict):
     """Ids of words, computed when missing.  Entries lie in two generations; when the younger ones of all tables together
-    reach half of ``WORDS_HELD`` they become the old ones, and what is used again comes back, so frequent words stay."""
+    reach half of ``WORDS_HELD`` they become the old ones, and what is used again comes back, so frequent words stay.
 
-    held = 0
+    They count among what the worker holds, so that an operator that comes later empties these tables first.
+    """
+
+    young = 0
     tables: list[WordIds] = []
 
     def __init__(self, compute):
@@ -63,19 +66,29 @@ class WordIds(dict):
         self.compute = compute
         self.old: dict[str, bytes] = {}
         WordIds.tables.append(self)
+        BoundedTable.tables.append(self)
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+        WordIds.young = 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.pop(word, None)
         if ids is None:
             ids = self.compute(word)
-        if len(word) <= KEPT_LENGTH:
-            if 2 * WordIds.held >= WORDS_HELD:
-                for table in WordIds.tables:
-                    table.old = dict(table)
-                    table.clear()
-                WordIds.held = 0
-            self[word] = ids
-            WordIds.held += 1
+            BoundedTable.held += 1
+        if len(word) > KEPT_LENGTH:
+            BoundedTable.held -= 1
+            return ids
+        if 2 * WordIds.young >= WORDS_HELD:
+            for table in WordIds.tables:
+                BoundedTable.held -= len(table.old)
+                table.old = dict(table)
+                dict.clear(table)
+            WordIds.young = 0
+        self[word] = ids
+        WordIds.young += 1
         return ids
 
 

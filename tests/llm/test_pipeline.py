@@ -22,7 +22,7 @@ def corpus():
     for d, lines in enumerate(base):
         lines = list(lines)
         if d % 4 == 1:
-            lines[2:2] = passage
+            lines[2:2] = passage if d % 8 == 1 else [" ".join(passage)]
         if d % 4 == 2:
             lines.insert(3, "Home | About | Contact | Help")
         if d % 10 == 3:
@@ -43,8 +43,8 @@ def expected(rows, items):
         if verdict[7]:
             kept.append((doc, verdict[8].decode()))
     stages = [sorted(kept)]
-    gone = brute_lines(kept, linededup.MIN_WORDS)
-    kept = [(d, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[d])) for d, t in kept]
+    left = brute_lines(kept, linededup.MIN_WORDS)
+    kept = [(d, left[d, t][0]) for d, t in kept]
     kept = [(d, t) for d, t in kept if t.split()]
     stages.append(sorted(kept))
     near = brute_near(kept)
