@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of whole lines that an earlier document holds go; documents without a word left go too."""
+    """Blocks of lines and sentences that an earlier document holds go; documents without a word left go too."""
     send_package(spark)
-    return linededup.remove_repeated_lines(docs, sentences=False).select(*docs.columns).where(r"text IS NULL OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    return linededup.remove_repeated_lines(docs).select(*docs.columns).where(r"text IS NULL OR text RLIKE '[^\\x20\\x09-\\x0D]'")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
