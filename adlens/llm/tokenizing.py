@@ -14,7 +14,9 @@ from functools import lru_cache
 from adlens.llm.common import KEPT_LENGTH, BoundedTable
 
 # A worker keeps the ids of at most this many words (about 200 bytes each).
-WORDS_HELD = 800_000
+WORDS_HELD = 600_000
+MISSES = 3_000_000
+CHECKED_EVERY = 1024
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 _ENDINGS = ".,;:!?"
 # Letters below this one are the same in composed form and have plain lower cases.
@@ -52,45 +54,41 @@ def _word_cut_matters(text: str) -> bool:
 
 
 class WordIds(dict):
-    """Ids of words, computed when missing.  Entries lie in two generations; when the younger ones of all tables together
-    reach half of ``WORDS_HELD`` they become the old ones, and what is used again comes back, so frequent words stay.
+    """Ids of words, computed when missing.  A full table stays as it is, for frequent words come early; when it has missed
+    ``MISSES`` times, as it does when the texts change, all tables start anew.
 
-    They count among what the worker holds, so that an operator that comes later empties these tables first.
+    The entries count among what the worker holds, so that an operator that comes later empties these tables; what an
+    operator before this one has kept goes as well.
     """
 
-    young = 0
     tables: list[WordIds] = []
+    missed = [0]
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
-        self.old: dict[str, bytes] = {}
         WordIds.tables.append(self)
         BoundedTable.tables.append(self)
 
-    def clear(self) -> None:
-        super().clear()
-        self.old = {}
-        WordIds.young = 0
-
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None)
-        if ids is None:
-            ids = self.compute(word)
-            BoundedTable.held += 1
-        if len(word) > KEPT_LENGTH:
-            BoundedTable.held -= 1
-            return ids
-        if 2 * WordIds.young >= WORDS_HELD:
-            for table in WordIds.tables:
-                BoundedTable.held -= len(table.old)
-                table.old = dict(table)
-                dict.clear(table)
-            WordIds.young = 0
-        self[word] = ids
-        WordIds.young += 1
+        missed = self.missed
+        missed[0] += 1
+        if not missed[0] % CHECKED_EVERY:
+            self.bounded()
+        ids = self.compute(word)
+        if BoundedTable.held < WORDS_HELD and len(word) <= KEPT_LENGTH:
+            self[word] = ids
         return ids
 
+    @staticmethod
+    def bounded() -> None:
+        for table in BoundedTable.tables:
+            if not isinstance(table, WordIds) or WordIds.missed[0] >= MISSES:
+                table.clear()
+        if WordIds.missed[0] >= MISSES:
+            WordIds.missed[0] = 0
+        BoundedTable.held = sum(map(len, WordIds.tables))
+
 
 class Encoder:
     """``ids(text)`` are the library's ids, 32-bit little-endian, without added special tokens."""
@@ -101,10 +99,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.word_level = word_level
         self.tokenize = self.model.tokenize
-        # What the worker has kept for an operator before this one is not needed now.
-        for table in BoundedTable.tables:
-            table.clear()
-        BoundedTable.held = 0
         self.endings = WordIds(self._piece)
         self.first = WordIds(self._word if word_level else self._chunk)
         self.spaced = WordIds(self._spaced)
