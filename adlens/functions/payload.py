@@ -98,11 +98,13 @@ def hydration_texts(html: Column) -> Column:
 def loader_section(json_text: Column) -> Column:
     """Value of the first ``loaderData`` key that starts with ``item``, as VARIANT.
 
-    A MAP keeps the JSON key order, which VARIANT objects do not.
+    A MAP keeps the JSON key order, which VARIANT objects do not; a repeated key keeps its first place and its last
+    value.
     """
     loader = F.from_json(json_text, "loaderData MAP<STRING, VARIANT>")["loaderData"]
     entries = F.filter(F.map_entries(loader), lambda e: e["key"].startswith("item"))
-    return first_of(entries)["value"]
+    return F.transform(F.array(entries), lambda items: F.try_element_at(
+        F.filter(items, lambda e: e["key"] == F.get(items, F.lit(0))["key"]), F.lit(-1))["value"])[0]
 
 
 def follower_count(html: Column) -> Column:

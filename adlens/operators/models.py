@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from adlens.constants import GBT_SETTINGS, RIDGE_ALPHA, SEED, TFIDF_TERMS
 from adlens.operators.profile import histogram
+from adlens.operators.ranking import ordered_positions
 from adlens.operators.tfidf import TOKEN_PATTERN, term_table
-from adlens.session import ensure_checkpoint_dir
+from adlens.session import ensure_checkpoint_dir, materialize
 from adlens.sources.tables import require_rows
 
 MODEL_TYPES = ("ridge", "gbt")
@@ -35,6 +36,22 @@ def with_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED
     return df.withColumn(name, hash_share(F.col(key), seed) < test_size)
 
 
+def with_exact_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED,
+                     name: str = "is_test") -> DataFrame:
+    """Split with exactly ``ceil(test_size * rows)`` test rows: those whose keys have the smallest hashes.
+
+    Rows are compared by hash, then by key, then by a hash of all columns, so the split depends on the rows alone.  The last
+    test row is found by position over range partitions; no task sorts the table.
+    """
+    marked = materialize(df.withColumns({
+        "_share": hash_share(F.col(key), seed), "_key": F.col(key).cast("string"),
+        "_row": F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), "_copy": F.monotonically_increasing_id()}))
+    order = ["_share", "_key", "_row", "_copy"]
+    wanted = F.ceil(F.round(F.lit(float(test_size)) * F.lit(marked.count()), 9))
+    return ordered_positions(marked, order, name="_place").withColumn(name, F.col("_place") < wanted) \
+        .select(*[c for c in df.columns if c != name], name)
+
+
 # ---- features and estimators -----------------------------------------------------------
 
 @dataclass
@@ -176,8 +193,11 @@ def top_tokens(weights: DataFrame, n: int = 10) -> DataFrame:
 
 def train_and_hold_out(prepared: DataFrame, key: str = "ad_id", test_size: float = 0.2,
                        model_type: str = "ridge", **options) -> tuple[PriceModel, DataFrame]:
-    """Fit on the training part; return the model and the test rows with ``prediction``."""
-    parts = with_split(prepared, key, test_size)
+    """Fit on the training part; return the model and the test rows with ``prediction``.
+
+    The split has the exact size, so a table of a few rows can be trained on as well.
+    """
+    parts = with_exact_split(prepared, key, test_size)
     require_rows(parts.where(~F.col("is_test")), "the split leaves no listing to train on")
     require_rows(parts.where("is_test"), "the split leaves no listing to test on")
     model = fit_price_model(parts.where(~F.col("is_test")).drop("is_test"), model_type, **options)

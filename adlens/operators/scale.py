@@ -66,11 +66,21 @@ def minmax_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   constant=0.0)
 
 
-def levels(df: DataFrame, columns: Sequence[str], fill: str = "missing") -> dict[str, list[str]]:
-    """Sorted distinct values of each column, in one pass; they become column names, so the caller sees them all."""
+# More distinct values than this are no levels.
+MOST_LEVELS = 10_000
+
+
+def levels(df: DataFrame, columns: Sequence[str], fill: str = "missing", most: int = MOST_LEVELS) -> dict[str, list[str]]:
+    """Sorted distinct values of each column, in one pass; they become column names, so the caller sees them all.
+
+    With more than ``most`` in all columns together nothing is collected and an error says so: give the levels of such a
+    column, or use ``label_encode``.
+    """
     found = (df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias("v")) for c in columns])).alias("e"))
-        .select("e.*").distinct().collect())
+        .select("e.*").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values in {', '.join(columns)}")
     return {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
 
 

@@ -8,7 +8,7 @@ from adlens.constants import (BOOLEAN_COLUMNS, BRANDS, CATEGORY_RULES, CONDITION
                               DEFAULT_CATEGORY, DEFAULT_CONDITION, IMAGE_BIN_LABELS, PERCENTILES, WEEKDAYS, DISCRETE_PRICE_FEATURES, PRICE_FEATURES, TITLE_FEATURES)
 from adlens.functions.text import combined_text, first_rule, normalise_title, word_count
 from adlens.operators import derive, information, prepare, profile
-from adlens.operators.models import with_split
+from adlens.operators.models import hash_share, with_exact_split, with_split
 from adlens.operators.scale import label_encode
 from adlens.plans.registry import CRAWL, D, L, S, query
 from adlens.sources import fixtures, tables
@@ -646,6 +646,16 @@ def split_counts(spark, d):
     return with_split(listings(spark, d), "ad_id").groupBy("is_test").agg(F.count("*").alias("n"))
 
 
+@query("exact_split", f"""{L}, B AS (SELECT *, CAST(('0x' || substr(md5(concat(ad_id, '#42')), 1, 8)) AS UBIGINT) AS h FROM L),
+  C AS (SELECT row_number() OVER (ORDER BY h, ad_id) <= ceil(0.2 * count(*) OVER ()) AS is_test, h FROM B)
+  SELECT is_test, count(*) AS n, min(h) / 4294967296.0 AS least, max(h) / 4294967296.0 AS most FROM C GROUP BY 1""")
+def exact_split(spark, d):
+    """Exactly a fifth of the rows, rounded up, by the smallest hashes."""
+    parts = with_exact_split(listings(spark, d), "ad_id")
+    share = hash_share(F.col("ad_id"))
+    return parts.groupBy("is_test").agg(F.count("*").alias("n"), F.min(share).alias("least"), F.max(share).alias("most"))
+
+
 # ---- association -------------------------------------------------------------------------
 
 _FEATURES, _FLAGS, _TITLE = PRICE_FEATURES, DISCRETE_PRICE_FEATURES, TITLE_FEATURES

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on.  Sizes that depend on the cluster
 # (executors, memory, shuffle partitions) are left to spark-submit.
-JOB_SETTINGS = {
+# Results depend on these two: timestamps are UTC, and of a JSON object's repeated keys the last one counts.
+RESULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+JOB_SETTINGS = {
+    **RESULT_SETTINGS,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -38,9 +43,10 @@ def build_session(app_name: str = "adlens", master: str | None = None,
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Timestamps are UTC throughout; set the session zone if it differs."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Timestamps are UTC throughout, and JSON is read with the last of repeated keys; set what differs."""
+    for key, value in RESULT_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -119,6 +119,28 @@ def test_split_is_stable(spark):
     assert a == b and a != other and 0.18 < len(a) / 20_000 < 0.22
 
 
+def test_exact_split(spark):
+    import math
+    for n, share in [(5, 0.2), (5, 0.4), (10, 0.3), (7, 0.5), (101, 0.2), (1, 0.2)]:
+        for start in (0, 50, 400):
+            df = spark.range(start, start + n).selectExpr("CAST(id AS STRING) AS k", "id % 2 AS is_test")
+            got = models.with_exact_split(df.repartition(3), "k", share)
+            test = {r.k for r in got.where("is_test").collect()}
+            assert got.count() == n and len(test) == math.ceil(round(share * n, 9)) and got.columns == ["k", "is_test"]
+            assert test == {r.k for r in models.with_exact_split(df.repartition(2), "k", share).where("is_test").collect()}
+    copies = spark.createDataFrame([("a", 1)] * 6 + [("a", 2)] * 4, "k STRING, v INT")
+    assert models.with_exact_split(copies, "k", 0.5).where("is_test").count() == 5
+
+
+def test_training_on_five_rows(spark, tmp_path):
+    """Whatever the keys: model and holdout come out."""
+    for n in range(3):
+        rows = [(f"{n}-{i}", f"gitar {i}", "Oslo", 100.0 * i, None) for i in range(1, 6)]
+        path = str(tmp_path / f"model{n}")
+        assert train_price_model(spark.createDataFrame(rows, SCHEMA), path, test_size=0.4).first().n == 2
+        assert spark.read.parquet(f"{path}.holdout").count() == 2
+
+
 def test_residual_histogram_counts_every_row(spark):
     df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS price_amount", "CAST(id % 7 AS DOUBLE) AS prediction")
     hist = models.residual_histogram(df, "price_amount", "prediction", 10)

@@ -81,3 +81,16 @@ def test_company_profile_takes_first_usable_script(spark):
 def test_loader_section_uses_json_key_order(spark):
     text = json.dumps({"loaderData": {"root": [1], "item-z": {"v": 1}, "item-a": {"v": 2}}})
     assert one(spark, text, lambda t: F.try_variant_get(P.loader_section(t), "$.v", "int")) == 1
+
+
+def test_of_repeated_keys_the_last_counts(spark, page):
+    """At the top, inside a document and inside a loader; the page is read."""
+    from adlens.operators.search_pages import collect_listings
+    doc = '{"ad_id": "a", "heading": "first", "price": {"amount": 1, "amount": 2}, "heading": "last"}'
+    raw = f'{{"queries": [], "queries": [{{"state": {{"data": {{"docs": [], "docs": [{doc}, {{"ad_id": "b"}}]}}}}}}]}}'
+    pages = spark.createDataFrame([("q", 0, 1, page(None, raw=raw))], "search_query STRING, range_no INT, page INT, html STRING")
+    assert sorted((r.ad_id, r.heading, r.price_amount) for r in collect_listings(pages).collect()) == [("a", "last", 2.0), ("b", None, None)]
+    loader = '{"loaderData": {"x": 1}, "loaderData": {"root": 1, "item-a": {"v": 1}, "item-b": {"v": 2}, "item-a": {"v": 3, "w": {"z": 1, "z": 9}}}}'
+    section = P.loader_section(F.lit(loader))
+    got = spark.range(1).select(F.try_variant_get(section, "$.v", "int").alias("v"), F.try_variant_get(section, "$.w.z", "int").alias("z")).first()
+    assert tuple(got) == (3, 9)

@@ -119,3 +119,9 @@ def test_one_hot_and_levels(numbers, spark):
 
 def test_label_encode(numbers):
     assert column(scale.label_encode(numbers, "s", "code"), "code") == [1, 0, 2, 1]     # Unknown < a < b
+
+
+def test_levels_beyond_the_bound_are_refused(spark):
+    many = spark.range(30).selectExpr("CAST(id AS STRING) AS v")
+    with pytest.raises(ValueError, match="more than 20"):
+        scale.levels(many, ["v"], most=20)
