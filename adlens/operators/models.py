@@ -98,21 +98,28 @@ def _feature_stages(train: DataFrame, max_terms: int) -> tuple[list, list[str]]:
     return stages, [f"text__{t}" for t in terms] + [f"time__{TIME_FEATURE}"]
 
 
-def ridge_estimator(train: DataFrame, alpha: float = RIDGE_ALPHA,
-                    label: str = "price_amount", features: str = "features") -> LinearRegression:
-    """Ridge with an unpenalised intercept.
+# Spark solves the normal equations up to this many features.
+NORMAL_WIDTH = 4096
 
-    Spark divides the loss by the row count and scales the label, so the penalty that equals
-    ``alpha`` in the plain least-squares form is ``alpha * deviation(label) / rows``.  One solver and one
-    penalty serve every width.
+
+def ridge_estimator(train: DataFrame, alpha: float = RIDGE_ALPHA, label: str = "price_amount",
+                    features: str = "features", width: int | None = None) -> LinearRegression:
+    """Ridge with an unpenalised intercept; ``width`` is the number of features (else read off a row).
+
+    Spark divides the loss by the row count and scales the label, so the penalty that equals ``alpha`` in the plain
+    least-squares form is ``alpha * deviation(label) / rows``.  Up to ``NORMAL_WIDTH`` features the normal equations are
+    summed in one pass and solved (there Spark takes the population deviation); beyond, some hundred passes come near the
+    same solution (there the sample deviation).
     """
-    row = train.agg(F.stddev_samp(label).alias("s"), F.count(label).alias("n")).first()
+    row = train.agg(F.stddev_samp(label).alias("sample"), F.stddev_pop(label).alias("population"), F.count(label).alias("n")).first()
     if not row["n"]:
         raise ValueError("no rows to fit on")
+    if width is None:
+        width = train.select(features).first()[0].size
+    solver, deviation = ("normal", row["population"]) if width <= NORMAL_WIDTH else ("l-bfgs", row["sample"])
     return LinearRegression(
         featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False,
-        regParam=alpha * (row["s"] or 0.0) / row["n"], solver="l-bfgs",
-        maxIter=1000, tol=1e-12)
+        regParam=alpha * (deviation or 0.0) / row["n"], solver=solver, maxIter=1000, tol=1e-12)
 
 
 def fit_price_model(train: DataFrame, model_type: str = "ridge", max_terms: int = TFIDF_TERMS,
@@ -128,7 +135,7 @@ def fit_price_model(train: DataFrame, model_type: str = "ridge", max_terms: int
     fitted_on = rows if validation is None else rows.where(~F.col(validation))
     stages, names = _feature_stages(fitted_on, max_terms)
     if model_type == "ridge":
-        estimator = ridge_estimator(fitted_on, **settings)
+        estimator = ridge_estimator(fitted_on, width=len(names), **settings)
         rows = fitted_on
     else:
         ensure_checkpoint_dir(train.sparkSession)  # the lineage of hundreds of rounds is cut every few

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from adlens.constants import (BINARY_FEATURES, CATEGORICAL_FEATURES, EMBEDDING_DIM, HIDDEN_DIMS, RIDGE_ALPHA, SEED,
                               MAX_PAGES, TFIDF_TERMS)
-from adlens.operators import merge, models, neural, prepare, scale, tfidf, vocab
+from adlens.operators import merge, models, neural, prepare, scale, stages, tfidf, vocab
 from adlens.plans.analysis import histogram_sql, rounded, scope
 from adlens.plans.jobs import evaluate_price_model, train_price_model
 from adlens.plans.registry import D, L, P, S, query
@@ -127,6 +128,36 @@ def log1p_minmax_inverse(spark, d):
     return rounded(scale.log1p_minmax_inverse(scaled, "scaled", fit, "back").select(*KEYS, "back"), 4, "back")
 
 
+def _reloaded(spark, stages, df):
+    """The stages fitted on ``df``, saved, and read again."""
+    path = scratch_path(spark, "stages")
+    Pipeline(stages=stages).fit(df).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+@query("saved_scalers", f"""{S}, F AS (SELECT min(log_price) AS lo, max(log_price) AS hi, min(num_images) AS a, max(num_images) AS b FROM S)
+  SELECT {_KEYS}, round((log_price - lo) / (hi - lo), 6) AS scaled, round(price_amount, 4) AS back,
+    round((num_images - a) / CAST(b - a AS DOUBLE), 6) AS num_num_images, CAST(trade_type = 'Til salgs' AS INT) AS for_sale FROM S, F""")
+def saved_scalers(spark, d):
+    """Scalers and one-hot levels as pipeline stages, saved and read again; prices scaled and turned back."""
+    df = scope(spark, d)
+    model = _reloaded(spark, [stages.LogMinMaxScaler(inputCol="price_amount", outputCol="scaled"), stages.MinMaxColumns(inputCols=["num_images"]),
+                              stages.OneHotLevels(inputCols=["trade_type"])], df)
+    back = model.stages[0].untransform(model.transform(df), "scaled", "back")
+    return rounded(rounded(back.select(*KEYS, "scaled", "back", "num_num_images", F.col("`trade_type_Til salgs`").alias("for_sale")), 6, "scaled", "num_num_images"), 4, "back")
+
+
+@query("saved_vocabulary", f"""WITH W AS (SELECT p_partkey, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM (SELECT p_partkey,
+    list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM part)),
+  V AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS token_id FROM (SELECT DISTINCT word FROM W))
+  SELECT p_partkey, string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM W JOIN V USING (word) GROUP BY 1""")
+def saved_vocabulary(spark, d):
+    """The vocabulary of all part names as a pipeline stage, saved and read again."""
+    parts = tables.read_table(spark, d, "part").select("p_partkey", "p_name")
+    model = _reloaded(spark, [stages.TitleVocabulary(inputCol="p_name", outputCol="ids", keyCols=["p_partkey"])], parts)
+    return model.transform(parts).select("p_partkey", F.array_join(F.transform("ids", lambda t: t.cast("string")), " ").alias("ids"))
+
+
 @query("minmax_timestamp", """WITH M AS (SELECT epoch_us(min(o_orderdate)) AS a, epoch_us(max(o_orderdate)) AS b FROM orders)
   SELECT o_orderkey, round((epoch_us(o_orderdate) - a) / CAST(b - a AS DOUBLE), 6) AS scaled FROM orders, M""")
 def minmax_timestamp(spark, d):

@@ -27,7 +27,10 @@ def listings(spark):
     return spark.createDataFrame(rows, SCHEMA).cache()
 
 
-def test_ridge_equals_closed_form(spark):
+@pytest.mark.parametrize("solved_to", [4096, 2])
+def test_ridge_equals_closed_form(spark, monkeypatch, solved_to):
+    """By the normal equations and, beyond their width, by passes."""
+    monkeypatch.setattr(models, "NORMAL_WIDTH", solved_to)
     rng = np.random.default_rng(1)
     x = rng.normal(0, [1.0, 20.0, 0.1], (200, 3))
     y = x @ [3.0, -0.5, 40.0] + 7 + rng.normal(0, 1, 200)
