@@ -164,7 +164,7 @@ class FrozenNetwork:
             r, c = np.arange(rows)[:, None], np.arange(cols)[None, :]
             return 0.5 * np.sin(0.7 * r + 1.3 * c + shift)
         emb = wave(vocab_size, dim, 0.0)
-        emb[PAD_ID] = 0.0
+        emb[PAD_ID:PAD_ID + 1] = 0.0
         dims = [dim, *hidden, 1]
         return cls(emb, wave(1, dim, 0.3)[0], (wave(n_time, 1, 0.5)[:, 0], 0.1),
                    (wave(n_time, dim - 1, 0.9), np.zeros(dim - 1)),
@@ -189,6 +189,11 @@ def _forward(net: dict, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
         weight = np.exp(raw - top)
         weight = weight / weight.sum(axis=1, keepdims=True)
     pooled = (x * weight[:, :, None]).sum(axis=1)
+    return _head(net, pooled, times)
+
+
+def _head(net: dict, pooled: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The layers above the pooled tokens; they are of one size whatever the vocabulary."""
     trend = times @ net["time_linear"][0] + net["time_linear"][1]
     waves = np.sin(times @ net["time_periodic"][0] + net["time_periodic"][1])
     h = pooled + np.concatenate([trend[:, None], waves], axis=1)
@@ -202,6 +207,38 @@ def _forward(net: dict, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
     return h[:, 0]
 
 
+def score_pooled_tokens(df: DataFrame, keys: Sequence[str], tokens: DataFrame, embeddings: DataFrame, network: FrozenNetwork,
+                        times: Sequence[str], length: int = MAX_SEQUENCE, name: str = "score", batch_size: int = 4096) -> DataFrame:
+    """Add the network's output to ``df``, whose ``keys`` identify a row; the embedding is a table and grows with the data.
+
+    ``tokens`` has a row ``keys, pos, token_id`` per token, ``embeddings`` has ``token_id, vec``: they are joined by token, and
+    the tokens are pooled by Spark.  Only the layers above, of fixed size, go to the tasks (``network.embedding`` is not
+    used).  A token without a vector counts as unknown, padding does not count, a position from ``length`` on is an error,
+    and a row without tokens has no score.
+    """
+    keys = list(keys)
+    late = F.raise_error(F.lit(f"sequence longer than {length}")).cast("int")
+    real = tokens.where(F.col("token_id") != PAD_ID).withColumn("pos", F.when(F.col("pos") >= length, late).otherwise(F.col("pos")))
+    pooled = attention_pool(position_encode(real, embeddings, len(network.score)), keys, "vec", network.score.tolist())
+    layers = {k: v for k, v in vars(network).items() if k != "embedding"}
+    shared = df.sparkSession.sparkContext.broadcast(layers)
+    head = _head
+
+    def make():
+        net = shared.value
+
+        def run(vectors: np.ndarray, features: np.ndarray) -> np.ndarray:
+            return head(net, vectors, features)
+        return run
+
+    infer = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size,
+                              input_tensor_shapes=[[len(network.score)], [len(times)]])
+    inputs = F.array(*[F.coalesce(F.col(t).cast("double"), F.lit(0.0)) for t in times])
+    joined = df.join(pooled.withColumnRenamed("pooled", "_pooled"), keys, "left")
+    known = F.coalesce("_pooled", F.array_repeat(F.lit(0.0), len(network.score)))
+    return joined.withColumn(name, F.when(F.col("_pooled").isNotNull(), infer(known, inputs))).drop("_pooled")
+
+
 def score_frozen_network(df: DataFrame, network: FrozenNetwork, ids: str, times: Sequence[str],
                          length: int = MAX_SEQUENCE, name: str = "score", batch_size: int = 4096) -> DataFrame:
     """Add the network's output.

@@ -434,17 +434,46 @@ def time2vec(spark, d):
         "o_orderkey", *[F.round(F.col("v")[i], 6).alias(f"t{i}") for i in range(8)])
 
 
-@query("score_frozen_network")
+def _network_sql() -> str:
+    """The whole network over titles and posting times, weights from the rule."""
+    d, dims = EMBEDDING_DIM, [EMBEDDING_DIM, *HIDDEN_DIMS, 1]
+    wave = lambda r, c, s: f"0.5 * sin(0.7 * {r} + 1.3 * {c} + {s})"
+    place = "CASE WHEN i % 2 = 0 THEN sin(pos * exp(i * {0})) ELSE cos(pos * exp((i - 1) * {0})) END".format(-math.log(10_000.0) / d)
+    sql = f"""X AS (SELECT ad_id, pos, coalesce(token_id, 1) AS t FROM E),
+  Y AS (SELECT ad_id, list_transform(range({d}), lambda i: {wave("t", "i", "0.0")} + {place}) AS x FROM X),
+  R AS (SELECT ad_id, x, list_dot_product(x, list_transform(range({d}), lambda i: {wave("0", "i", "0.3")})) AS s FROM Y),
+  Q AS (SELECT ad_id, x, exp(s - max(s) OVER (PARTITION BY ad_id)) AS w FROM R),
+  U AS (SELECT ad_id, i, sum(w * x[i + 1]) / sum(w) AS v FROM Q, range({d}) r(i) GROUP BY 1, 2),
+  P AS (SELECT ad_id, list(v ORDER BY i) AS p FROM U GROUP BY 1),
+  H0 AS (SELECT ad_id, list_transform(range({d}), lambda i: p[i + 1] + CASE WHEN i = 0 THEN a * {wave("0", "0", "0.5")} + b * {wave("1", "0", "0.5")} + 0.1
+    ELSE sin(a * {wave("0", "(i - 1)", "0.9")} + b * {wave("1", "(i - 1)", "0.9")}) END) AS h FROM P JOIN TM USING (ad_id))"""
+    for n, (rows, cols) in enumerate(zip(dims, dims[1:])):
+        sql += f""",
+  Z{n} AS (SELECT ad_id, list_transform(range({cols}), lambda c: list_dot_product(h, list_transform(range({rows}), lambda r: {wave("r", "c", repr(0.1 * n))}))) AS h FROM H{n})"""
+        if n < len(dims) - 2:
+            sql += f""",
+  M{n} AS (SELECT ad_id, h, list_avg(h) AS m, sqrt(list_var_pop(h) + 1e-5) AS s FROM Z{n}),
+  H{n + 1} AS (SELECT ad_id, list_transform(h, lambda v: CASE WHEN v > m THEN (v - m) / s ELSE 0.01 * (v - m) / s END) AS h FROM M{n})"""
+    return sql + f""" SELECT D.ad_id, round(h[1], 6) AS score FROM D LEFT JOIN Z{len(dims) - 2} USING (ad_id)"""
+
+
+@query("score_frozen_network", f"""{D}, TW AS (SELECT ad_id, heading, CAST(epoch(CAST(timestamp_dt AS TIMESTAMP)) AS DOUBLE) AS s FROM D),
+  TR AS (SELECT min(s) AS lo, max(s) AS hi FROM TW),
+  TM AS (SELECT ad_id, coalesce((s - lo) / (hi - lo), 0) AS a, coalesce((hi - s) / (hi - lo), 0) AS b FROM TW, TR),
+  VW AS (SELECT DISTINCT unnest(list_filter(string_split(trim(regexp_replace(lower(heading), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS word FROM D),
+  V AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS token_id FROM VW),
+  TT AS (SELECT ad_id, list_filter(regexp_split_to_array(lower(heading), '\s+'), lambda w: w <> '') AS w FROM D),
+  E AS (SELECT ad_id, pos - 1 AS pos, token_id FROM (SELECT ad_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM TT) LEFT JOIN V USING (word)), {_network_sql()}""")
 def score_frozen_network(spark, d):
-    """Whole network over the titles and posting times of all ads; the embedding has a row for every word."""
+    """Whole network over the titles and posting times of all ads; the embedding is a table with a row for every word."""
     ads = fixtures.landed_table(spark, d, "titled-ads", lambda: fixtures.first_listings(spark, d, ["heading", "timestamp_dt"]))
     words = fixtures.landed_table(spark, d, "title-vocabulary", lambda: vocab.fit_vocabulary(ads, "heading"))
-    network = neural.FrozenNetwork.from_rule(words.count(), EMBEDDING_DIM, 2, HIDDEN_DIMS)
-    ids = vocab.encode_tokens(ads, ["ad_id"], "heading", words)
+    network = neural.FrozenNetwork.from_rule(0, EMBEDDING_DIM, 2, HIDDEN_DIMS)
+    tokens = vocab.token_rows(ads, ["ad_id"], "heading", words)
     seconds = prepare.epoch_seconds(ads, "timestamp_dt")
     times = scale.minmax(ads.select("ad_id", "timestamp_dt"), {"posted": seconds, "age": -seconds})
-    scored = neural.score_frozen_network(ids.join(times, "ad_id"), network, "ids", ["posted", "age"])
-    return scored.select("ad_id", "score")
+    scored = neural.score_pooled_tokens(times, ["ad_id"], tokens, neural.frozen_embeddings(words, EMBEDDING_DIM), network, ["posted", "age"])
+    return rounded(scored.select("ad_id", "score"), 6, "score")
 
 
 # ---- streams -----------------------------------------------------------------------------

@@ -103,3 +103,20 @@ def test_weights_from_a_table_and_a_long_title(spark):
     assert got == pytest.approx(plain_forward(net, ids, [0.3, 0.6]))
     with pytest.raises(ValueError, match="bias_0"):
         neural.FrozenNetwork.from_table(table.where("part <> 'bias_0'"), dim=8, hidden=(6,))
+
+
+def test_embedding_as_a_table_gives_the_same_scores(spark):
+    net = neural.FrozenNetwork.from_rule(20, dim=8, hidden=(6, 5))
+    rows = [(1, [2, 3, 4], 0.1, 0.9), (2, [5], 0.4, 0.2), (3, [], 0.5, 0.5), (4, [19, 1, 3, 2, 2], 1.0, None), (5, [0, 0], 0.1, 0.1)]
+    df = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "id INT, a DOUBLE, b DOUBLE")
+    tokens = spark.createDataFrame([(r[0], p, t) for r in rows for p, t in enumerate(r[1])] + [(6, 0, 99)], "id INT, pos INT, token_id BIGINT").repartition(3)
+    words = spark.createDataFrame([(t, [float(x) for x in net.embedding[t]]) for t in range(20)], "token_id BIGINT, vec ARRAY<DOUBLE>")
+    got = {r.id: r.score for r in neural.score_pooled_tokens(df, ["id"], tokens, words, net, ["a", "b"], length=6).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[3] is None and got[5] is None
+    for r in (rows[0], rows[1], rows[3]):
+        assert got[r[0]] == pytest.approx(plain_forward(net, r[1], [r[2], r[3] or 0.0]))
+    # A token the table does not have counts as unknown.
+    odd = neural.score_pooled_tokens(df.limit(1).withColumn("id", F.lit(6)), ["id"], tokens, words, net, ["a", "b"]).first()
+    assert odd.score == pytest.approx(plain_forward(net, [1], [0.1, 0.9]))
+    with pytest.raises(Exception, match="longer than 4"):
+        neural.score_pooled_tokens(df, ["id"], tokens, words, net, ["a", "b"], length=4).collect()
