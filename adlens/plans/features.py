@@ -462,7 +462,7 @@ def _network_sql() -> str:
   TM AS (SELECT ad_id, coalesce((s - lo) / (hi - lo), 0) AS a, coalesce((hi - s) / (hi - lo), 0) AS b FROM TW, TR),
   VW AS (SELECT DISTINCT unnest(list_filter(string_split(trim(regexp_replace(lower(heading), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS word FROM D),
   V AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS token_id FROM VW),
-  TT AS (SELECT ad_id, list_filter(regexp_split_to_array(lower(heading), '\s+'), lambda w: w <> '') AS w FROM D),
+  TT AS (SELECT ad_id, list_filter(regexp_split_to_array(lower(heading), '\\s+'), lambda w: w <> '') AS w FROM D),
   E AS (SELECT ad_id, pos - 1 AS pos, token_id FROM (SELECT ad_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM TT) LEFT JOIN V USING (word)), {_network_sql()}""")
 def score_frozen_network(spark, d):
     """Whole network over the titles and posting times of all ads; the embedding is a table with a row for every word."""
