@@ -105,6 +105,14 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+def unused_prefix(df: DataFrame) -> str:
+    """Underscores with which no column of ``df`` begins, for the names of columns added on the way."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: computed once, and lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, label)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adlens.llm.common import land, list_column, texts
+from adlens.llm.common import land, list_column, texts, unused_prefix
 
 MIN_WORDS = 25
 # A line is cut after the space that follows a sentence end; the pattern finds the ends of pieces and lines in UTF-8.
@@ -275,16 +275,17 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, sentences
     added = ["n_lines", "removed_lines", "removed_words"]
     lined = land(_lined(docs, min_words, sentences), "lines")
     gone = land(deletions(lined, min_words), "gone")
-    rows = docs.drop(*added).withColumn("_hash", F.xxhash64("text"))
+    kept = docs.drop(*added)
+    own = unused_prefix(kept)
+    rows = kept.withColumn(f"{own}hash", F.xxhash64("text"))
     # The deletions grow with the corpus: they meet the texts by key at every size and are never broadcast.
     key = ["doc_id", "text_hash"]
-    lines = lined.groupBy(*key).agg(F.max("n_lines").alias("_n"))
-    mine = lines.join(gone, key, "left").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), "_n",
-                                                F.col("gone").alias("_gone"), F.col("removed_words").alias("_words")).hint("merge")
-    joined = rows.join(mine, rows["doc_id"].cast("bigint").eqNullSafe(mine["_id"]) & rows["_hash"].eqNullSafe(mine["_text_hash"]))
-    kept = docs.drop(*added)
+    lines = lined.groupBy(*key).agg(F.max("n_lines").alias("n"))
+    mine = lines.join(gone, key, "left").select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}text_hash"), F.col("n").alias(f"{own}n"),
+                                                F.col("gone").alias(f"{own}gone"), F.col("removed_words").alias(f"{own}words")).hint("merge")
+    joined = rows.join(mine, rows["doc_id"].cast("bigint").eqNullSafe(mine[f"{own}id"]) & rows[f"{own}hash"].eqNullSafe(mine[f"{own}text_hash"]))
     schema = T.StructType([*kept.schema, *[T.StructField(name, T.LongType()) for name in added]])
-    return joined.select(*kept.columns, "_gone", F.col("_n"), F.coalesce("_words", F.lit(0)).cast("bigint").alias("_words")) \
+    return joined.select(*kept.columns, f"{own}gone", f"{own}n", F.coalesce(f"{own}words", F.lit(0)).cast("bigint").alias(f"{own}words")) \
         .mapInArrow(_edit(schema, sentences), schema)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import discard, land, list_column, shingle_set, texts
+from adlens.llm.common import discard, land, list_column, shingle_set, texts, unused_prefix
 from adlens.llm.components import components
 from adlens.operators.ranking import ordered_positions
 
@@ -259,15 +259,17 @@ def keep_one_per_group(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Da
 
     Rows that share a doc_id but not a text are documents of their own, in the order of a hash of the text.
     """
-    rows = docs.where("doc_id IS NOT NULL").withColumn("_text_hash", F.xxhash64("text"))
-    own = land(rows.select("doc_id", "_text_hash").distinct(), "ids")
+    mark = unused_prefix(docs)
+    text_hash, node = f"{mark}text_hash", f"{mark}node"
+    rows = docs.where("doc_id IS NOT NULL").withColumn(text_hash, F.xxhash64("text"))
+    own = land(rows.select("doc_id", text_hash).distinct(), "ids")
     if own.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
         chosen = docs.join(land(kept, "kept"), "doc_id").dropDuplicates(["doc_id"])
     else:
-        nodes = land(ordered_positions(own, ["doc_id", "_text_hash"], name="_node"), "nodes")
-        told_apart = rows.join(nodes, ["doc_id", "_text_hash"]).select(F.col("_node").alias("doc_id"), "text")
-        kept = near_duplicates(told_apart, percent).where("kept").select(F.col("doc_id").alias("_node")).distinct()
-        chosen = rows.join(land(nodes.join(kept, "_node").drop("_node"), "kept"), ["doc_id", "_text_hash"]) \
-            .dropDuplicates(["doc_id", "_text_hash"])
+        nodes = land(ordered_positions(own, ["doc_id", text_hash], name=node), "nodes")
+        told_apart = rows.join(nodes, ["doc_id", text_hash]).select(F.col(node).alias("doc_id"), "text")
+        kept = near_duplicates(told_apart, percent).where("kept").select(F.col("doc_id").alias(node)).distinct()
+        chosen = rows.join(land(nodes.join(kept, node).drop(node), "kept"), ["doc_id", text_hash]) \
+            .dropDuplicates(["doc_id", text_hash])
     return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
