@@ -148,34 +148,52 @@ def _likely_pairs(members: DataFrame, hubs: int, percent: int) -> tuple[DataFram
     return land(pairs, "likely"), rest
 
 
-def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, estimate) of remaining documents that share a prefix shingle and lie in different components.
+# Sizes of sets fall into classes that grow by a third.
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(4 / 3))).cast("int")
+
+
+def _prefix_sides(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that probe (id, n, ahead, ...) and those probed (b, b_n, b_ahead, ...), to be joined on shingle and class.
 
-    Of n shingles in order of rarity, a set with similarity s to another shares at least one of the first
-    n - ceil(s * n) + 1 with the first ones of the other; and at the first common one, what is left of both
-    must still suffice for the overlap, which drops most pairs that are only half alike.
+    ``left``: id, comp, n, bits.  Of two sets the larger one probes.  In order of rarity it does so with the first
+    n - ceil(s * n) + 1 of its shingles; the smaller one, which must share more of its own, needs to be found by
+    its first n - ceil(2 * s / (1 + s) * n) + 1 alone.  The class of the size parts a frequent shingle further.
     """
-    left = land(active.groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("bits").alias("bits")),
-                "left")
     held = sets.join(left.select(F.col("id").alias("doc_id")), "doc_id", "left_semi") \
         .select(F.col("doc_id").alias("id"), F.explode("shingles").alias("shingle"))
     frequency = held.groupBy("shingle").agg(F.count("*").alias("df"))
     kept = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    probed = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
     rows = held.join(frequency, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")) \
-        .join(left, "id").select("id", "comp", "n", F.posexplode(F.slice("s", F.lit(1), kept.cast("int"))).alias("at", "p")) \
-        .where("p.df > 1").select("id", "comp", "n", (F.col("n") - F.col("at")).alias("ahead"), F.col("p.shingle").alias("shingle"))
+        .join(left, "id").select("id", "comp", "n", "bits", F.posexplode(F.slice("s", F.lit(1), kept.cast("int"))).alias("at", "p")) \
+        .where("p.df > 1").select("id", "comp", "n", "bits", (F.col("n") - F.col("at")).alias("ahead"),
+                                  F.col("p.shingle").alias("shingle"), (F.col("at") < probed).alias("probed"))
     rows = land(rows, "prefixes")
-    other = rows.select("shingle", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"),
-                        F.col("ahead").alias("b_ahead"))
+    index = rows.where("probed").select("shingle", _size_class(F.col("n")).alias("class"), F.col("id").alias("b"),
+                                        F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.col("ahead").alias("b_ahead"),
+                                        F.col("bits").alias("b_bits"))
+    smallest = F.ceil(F.col("n") * percent / F.lit(100))
+    probe = rows.drop("probed").withColumn("class", F.explode(F.sequence(_size_class(smallest), _size_class(F.col("n")))))
+    return probe, index
+
+
+def _prefix_pairs(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, estimate) of remaining documents that share a prefix shingle and lie in different components.
+
+    At the first common shingle, what is left of both sets must still suffice for the overlap, and the signatures
+    must promise the similarity; both are tests of the join, which puts out no other pair.
+    """
+    left = land(active.groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("bits").alias("bits")),
+                "left")
+    probe, index = _prefix_sides(left, sets, percent)
     most = F.least("ahead", "b_ahead")
-    pairs = rows.join(other, "shingle").where(
-        (F.col("id") < F.col("b")) & (F.col("comp") != F.col("b_comp"))
-        & (100 * most >= percent * (F.col("n") + F.col("b_n") - most))).select(F.col("id").alias("a"), "b").distinct()
-    bits = left.select("id", "bits")
-    return land(pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("a_bits")), "a")
-                .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("b_bits")), "b")
-                .withColumn("estimate", estimated_similarity(F.col("a_bits"), F.col("b_bits")))
-                .where(F.col("estimate") >= estimate_cut(percent)).select("a", "b", "estimate"), "rest")
+    estimate = estimated_similarity(F.col("bits"), F.col("b_bits"))
+    return land(probe.join(index, ["shingle", "class"]).where(
+        ((F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b") < F.col("id"))))
+        & (F.col("comp") != F.col("b_comp")) & (100 * F.col("b_n") >= percent * F.col("n"))
+        & (100 * most >= percent * (F.col("n") + F.col("b_n") - most)) & (estimate >= estimate_cut(percent)))
+        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), estimate.alias("estimate")).distinct(), "rest")
 
 
 def _relabel(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:

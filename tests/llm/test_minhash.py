@@ -58,6 +58,38 @@ def test_large_group_of_copies_around_the_threshold(docs, words):
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_pages_of_one_template_do_not_meet(docs, spark, words):
+    from pyspark.sql import functions as F
+    template = words(84, 1)
+    rows = [(i, " ".join([*template[:40], *words(16, 1000 + i), *template[40:]])) for i in range(300)]
+    sets = docs(rows).select("doc_id", "text").mapInArrow(minhash._shingle_sets, "doc_id bigint, shingles array<bigint>")
+    left = sets.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), F.size("shingles").cast("bigint").alias("n"),
+                       F.array(*[F.lit(0).cast("bigint")] * 4).alias("bits"))
+    probe, index = minhash._prefix_sides(left, sets, 75)
+    met = probe.groupBy("shingle", "class").count().join(index.groupBy("shingle", "class").agg(F.count("*").alias("m")), ["shingle", "class"])
+    assert (met.agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0) <= len(rows)
+    assert {r.component_id for r in minhash.near_duplicates(docs(rows)).collect()} == {i for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [75, 60])
+def test_prefixes_find_every_similar_pair(spark, percent):
+    from pyspark.sql import functions as F
+    own = random.Random(8)
+    base = [own.randrange(2**60) for _ in range(70)]
+    sets = {}
+    for i in range(150):
+        kept = [x for x in base if own.random() > 0.02 * (i % 12)]
+        sets[i] = set(kept) | {own.randrange(2**60) for _ in range(own.randrange(14))}
+    sets |= {200: {1}, 201: {1}, 202: {1, 2}, 203: {1, 2, 3}, 204: {1, 2, 3, 4}}
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "doc_id bigint, shingles array<bigint>")
+    # Equal signatures, so that no pair is dropped by its estimate.
+    active = table.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"), F.size("shingles").cast("bigint").alias("n"),
+                          F.array(*[F.lit(0).cast("bigint")] * 4).alias("bits"))
+    got = {(r.a, r.b) for r in minhash._prefix_pairs(active, table, percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def test_null_ids_repeated_rows_and_empty_table(docs):
     text = "one two three four five six seven"
     got = minhash.near_duplicates(docs([(None, text), (5, text), (5, text), (3, text)])).collect()
