@@ -222,9 +222,13 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     record_type, refers_to, all from the archives."""
     folder = scratch_path(pages.sparkSession, "warc")
     records = land(read_archives(write_archives(pages, folder, min_bytes), folder, payloads=False), "records")
-    responses = records.where("record_type = 'response'") \
-        .select(F.col("record_id").alias("target"), F.col("page_id").alias("target_page"),
-                F.col("payload_bytes").alias("target_bytes")).dropDuplicates(["target"])
-    return records.join(land(responses, "responses"), F.col("refers_to") == F.col("target"), "left") \
-        .select("page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), "payload_digest",
-                "record_type", F.col("target_page").alias("refers_to"))
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    # Responses refer to nothing and stay out of the join; of them only the targets are landed, not one small file per shuffle partition.
+    targets = responses.select(F.col("record_id").alias("target"), F.col("page_id").alias("target_page"),
+                               F.col("payload_bytes").alias("target_bytes")).dropDuplicates(["target"]) \
+        .join(revisits.select(F.col("refers_to").alias("target")).distinct(), "target", "left_semi")
+    resolved = revisits.join(land(targets, "targets"), F.col("refers_to") == F.col("target"), "left") \
+        .select("page_id", F.col("target_bytes").alias("payload_bytes"), "payload_digest", "record_type",
+                F.col("target_page").alias("refers_to"))
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type",
+                            F.lit(None).cast("bigint").alias("refers_to")).union(resolved)

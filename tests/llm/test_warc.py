@@ -51,6 +51,21 @@ def test_identical_rows_of_the_response_are_responses(pages):
     assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
 
 
+def test_only_the_targets_of_revisits_are_landed(pages, monkeypatch):
+    landed, land = {}, warc.land
+
+    def counted(df, label):
+        out = land(df, label)
+        landed[label] = out.count()
+        return out
+    monkeypatch.setattr(warc, "land", counted)
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(40)] + [(i, f"http://h/{i}", "<p>same</p>") for i in range(40, 43)]
+    got = [tuple(r) for r in warc.archive_round_trip(pages(rows)).collect()]
+    assert sorted(got, key=str) == brute(rows)
+    last = [n for label, n in landed.items() if label not in ("winners", "revisits", "archives", "records")]
+    assert landed["records"] == 43 and sum(last) == 1
+
+
 def test_empty_table(pages):
     assert warc.archive_round_trip(pages([])).collect() == []
 
