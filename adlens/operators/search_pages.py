@@ -175,10 +175,11 @@ def open_fields(raw: Column, known: Sequence[str]) -> Column:
 
 
 def collect_listings(pages: DataFrame, query: str | None = None, max_pages: int | None = None,
-                     include_raw: bool = False) -> DataFrame:
+                     include_raw: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """All listings of a query (or of every query), one row per ad: its first sighting.
 
-    ``pages`` carries ``search_query``, ``range_no`` and ``page``; both filters reach the scan.
+    ``pages`` carries ``search_query``, ``range_no`` and ``page``; both filters reach the scan.  ``columns`` names what
+    is wanted besides ``ad_id``: only that is shuffled.
     """
     chosen = pages
     if query is not None:
@@ -188,7 +189,7 @@ def collect_listings(pages: DataFrame, query: str | None = None, max_pages: int
     chosen = chosen.withColumnsRenamed({"search_query": "_query", "range_no": "_range", "page": "_page"})
     keep = ["_query", "_range", "_page"]
     rows = parse_search_pages(chosen, keep, include_raw)
-    return keep_first(rows, ["ad_id"], F.struct(*keep, "pos")).drop(*keep, "pos")
+    return keep_first(rows, ["ad_id"], F.struct(*keep, "pos"), columns).drop(*keep, "pos")
 
 
 def page_summary(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

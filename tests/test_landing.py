@@ -8,7 +8,9 @@ import time
 
 import pytest
 
+import __spark_entry__ as entry_module
 from adlens.operators.ranking import ordered_positions
+from adlens.operators.search_pages import collect_listings
 from adlens.sources import fixtures
 
 
@@ -67,3 +69,11 @@ def test_positions_leave_no_shuffle_files_and_do_not_shuffle_the_rows_again(spar
     assert settles_at(spark, before)
     assert placed.groupBy("g").agg({"position": "max", "*": "count"}).where("`max(position)` <> `count(1)` - 1").count() == 0
     assert "BroadcastHashJoin" in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collecting_shuffles_the_wanted_columns_only(spark, tables):
+    found = entry_module.queries()["collect_listings"](spark, tables)
+    packed = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "min_by" in line]
+    assert packed and not any("image_urls" in line or "canonical_url" in line for line in packed)
+    want = collect_listings(fixtures.search_pages(spark, tables)).select(*found.columns)
+    assert found.count() == 170 and found.exceptAll(want).count() == 0
