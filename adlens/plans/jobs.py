@@ -8,6 +8,7 @@ from adlens.operators.models import (PriceModel, regression_metrics, sample_pred
                                      train_and_hold_out)
 from adlens.operators.prepare import ensure_prepared, prepare_listings
 from adlens.operators.search_pages import collect_listings
+from adlens.session import shuffles_dropped
 from adlens.sources.tables import read_listings_csv, require_rows, write_listings_csv
 
 
@@ -24,7 +25,8 @@ def collect_to_tables(pages: DataFrame, raw_path: str, prepared_path: str | None
         if csv:
             write_listings_csv(df, path)
         else:
-            df.write.mode("overwrite").parquet(path)
+            with shuffles_dropped(spark):
+                df.write.mode("overwrite").parquet(path)
 
     rows = collect_listings(pages, query, max_pages)
     write(rows, raw_path)

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as entry_module
 from adlens.operators.ranking import ordered_positions
 from adlens.operators.search_pages import collect_listings
+from adlens.plans.jobs import collect_to_tables
 from adlens.sources import fixtures
 
 
@@ -77,3 +78,11 @@ def test_collecting_shuffles_the_wanted_columns_only(spark, tables):
     assert packed and not any("image_urls" in line or "canonical_url" in line for line in packed)
     want = collect_listings(fixtures.search_pages(spark, tables)).select(*found.columns)
     assert found.count() == 170 and found.exceptAll(want).count() == 0
+
+
+def test_collecting_to_tables_leaves_no_shuffle_files(spark, tables, tmp_path):
+    pages = fixtures.search_pages(spark, tables)
+    before = shuffle_blocks(spark)
+    assert collect_to_tables(pages, str(tmp_path / "raw")).schema == collect_listings(pages).schema
+    assert settles_at(spark, before)
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 170
