@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from adlens.operators.ingest import keep_first
+from adlens.session import shuffles_dropped
 
 
 class MergedTable:
@@ -83,29 +84,41 @@ class MergedTable:
         first = keep_first(rows.select(*names), self.keys, F.struct(*self.order)).select(*names)
         mine = first.withColumn("_bucket", self._bucket())
         incoming = f"{self.path}/incoming/{batch}"
-        mine.write.mode("overwrite").parquet(incoming)
+        self._write(mine, incoming)
         mine = self.spark.read.parquet(incoming)
-        stored = self._files_of({b: held[b] for b in self._distinct_buckets(mine) if b in held})
-        place = F.struct(*[F.col(f"n.{c}") for c in self.order])
-        known = F.struct(*[F.col(f"o.{c}") for c in self.order])
-        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in self.keys]
-        places = stored.select(*dict.fromkeys([*self.keys, *self.order])).withColumn("_held", F.lit(True))
-        better = f"{self.path}/better/{batch}"
-        mine.alias("n").join(places.alias("o"), same, "left").where(F.col("o._held").isNull() | (place < known)).select("n.*") \
-            .write.mode("overwrite").parquet(better)
-        winners = self.spark.read.parquet(better)
+        met = {b: held[b] for b in self._distinct_buckets(mine) if b in held}
+        # Where nothing is stored yet, all rows come first.
+        winners = self._better(mine, met, batch) if met else mine
         touched = self._distinct_buckets(winners)
         if touched:
-            old = self._files_of({b: held[b] for b in touched if b in held}).withColumn("_bucket", self._bucket())
-            rest = old.alias("n").join(winners.select(*self.keys).alias("o"), same, "left_anti")
             spread = F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(self.files))
-            rest.unionByName(winners).repartition("_bucket", spread).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/rows/{batch}")
+            if kept := {b: held[b] for b in touched if b in held}:
+                old = self._files_of(kept).withColumn("_bucket", self._bucket())
+                winners = old.alias("n").join(winners.select(*self.keys).alias("o"), self._same(), "left_anti").unionByName(winners)
+            self._write(winners.repartition("_bucket", spread), f"{self.path}/rows/{batch}", "_bucket")
         self._commit(batch, {**held, **dict.fromkeys(touched, batch)})
         for name in ("incoming", "better"):
             path, store = self._store(f"{name}/{batch}")
             store.delete(path, True)
         return touched
 
+    def _same(self) -> list[Column]:
+        return [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in self.keys]
+
+    def _write(self, rows: DataFrame, path: str, *folders: str) -> None:
+        with shuffles_dropped(rows.sparkSession):
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*folders).parquet(path)
+
+    def _better(self, mine: DataFrame, met: dict[int, int], batch: int) -> DataFrame:
+        """The rows of ``mine`` that come before what is stored in the buckets ``met``."""
+        stored = self._files_of(met)
+        place = F.struct(*[F.col(f"n.{c}") for c in self.order])
+        known = F.struct(*[F.col(f"o.{c}") for c in self.order])
+        places = stored.select(*dict.fromkeys([*self.keys, *self.order])).withColumn("_held", F.lit(True))
+        better = f"{self.path}/better/{batch}"
+        self._write(mine.alias("n").join(places.alias("o"), self._same(), "left").where(F.col("o._held").isNull() | (place < known)).select("n.*"), better)
+        return self.spark.read.parquet(better)
+
     def _distinct_buckets(self, rows: DataFrame) -> set[int]:
         return {r[0] for r in rows.select("_bucket").distinct().collect()}
 

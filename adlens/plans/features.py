@@ -484,10 +484,9 @@ def score_frozen_network(spark, d):
 def stream_dedupe(spark, d):
     """The stream gives what ``collect_listings`` gives, row for row."""
     pages = streams.page_stream(spark, fixtures.search_pages_path(spark, d))
-    table = streams.sightings_table(pages, scratch_path(spark, "sightings-table"))
-    return streams.merge_sightings(pages, table, "sightings").select(
-        "ad_id", "search_query", "heading", "location", "price_amount", "is_promoted", "num_images",
-        "page_current", "organisation_name")
+    columns = ["search_query", "heading", "location", "price_amount", "is_promoted", "num_images", "page_current", "organisation_name"]
+    table = streams.sightings_table(pages, scratch_path(spark, "sightings-table"), columns=columns)
+    return streams.merge_sightings(pages, table, "sightings").select("ad_id", *columns)
 
 
 @query("crawl_progress", f"""{_PER_PAGE}, T AS (SELECT search_query, range_no, max(page) AS last_page, count(*) AS n_pages FROM G

@@ -16,7 +16,7 @@ from adlens.constants import MAX_PAGES
 from adlens.operators.ingest import keep_first
 from adlens.operators.merge import MergedTable
 from adlens.operators.search_pages import largest_price, list_size, parse_pages, parse_search_pages
-from adlens.session import ensure_utc, scratch_path
+from adlens.session import ensure_utc, scratch_path, state_on_disk
 
 _PLACE = ["_query", "_range", "_page"]
 # Pages fetched this long before the latest one are still looked at, and an ad is held this long.
@@ -34,9 +34,10 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 def _run(stream: DataFrame, label: str, mode: str, write: Callable[[DataFrame, int], None], progress: list | None = None) -> bool:
     """Process all that has landed in micro-batches; whether there was any.  ``progress`` gets the reports of the batches."""
-    query = (stream.writeStream.foreachBatch(write).outputMode(mode)
-             .option("checkpointLocation", scratch_path(stream.sparkSession, f"{label}-state"))
-             .trigger(availableNow=True).start())
+    with state_on_disk(stream.sparkSession):
+        query = (stream.writeStream.foreachBatch(write).outputMode(mode)
+                 .option("checkpointLocation", scratch_path(stream.sparkSession, f"{label}-state"))
+                 .trigger(availableNow=True).start())
     query.awaitTermination()
     if progress is not None:
         progress.extend(query.recentProgress)
@@ -56,17 +57,18 @@ def _run_batches(stream: DataFrame, label: str, mode: str, prepare: Callable[[Da
     return spark.read.schema(schema).parquet(out) if landed else spark.createDataFrame([], schema)
 
 
-def first_sightings_stream(pages: DataFrame, delay: str = DELAY, hold: str = HOLD) -> DataFrame:
+def first_sightings_stream(pages: DataFrame, delay: str = DELAY, hold: str = HOLD, columns: Sequence[str] | None = None) -> DataFrame:
     """The first sighting of every ad so far, whenever a page that holds the ad lands.
 
     State holds, per ad and ``hold`` window of the fetch time, the row with the best place in the crawl.  A better place that
     lands later gives a corrected row; a window leaves the state when the watermark, ``delay`` behind the latest fetch, has
     passed it, and pages fetched before that are not looked at.  An ad seen in several windows comes once for each: the
-    table the rows are merged into decides by place.
+    table the rows are merged into decides by place.  ``columns`` names what is wanted besides the key and the place: state
+    and shuffles hold nothing else.
     """
     named = pages.withColumnsRenamed({"search_query": "_query", "range_no": "_range", "page": "_page"})
     rows = parse_search_pages(named.withWatermark("fetched_at", delay), [*_PLACE, "fetched_at"])
-    wanted = [c for c in rows.columns if c not in ("ad_id", "fetched_at")]
+    wanted = [c for c in rows.columns if c not in ("ad_id", "fetched_at") and (columns is None or c in {*columns, *_PLACE, "pos"})]
     best = rows.groupBy(F.window("fetched_at", hold), "ad_id").agg(
         F.min_by(F.struct(*wanted), F.struct(*_PLACE, "pos")).alias("_row"))
     return best.select("ad_id", "_row.*")
@@ -75,13 +77,15 @@ def first_sightings_stream(pages: DataFrame, delay: str = DELAY, hold: str = HOL
 def merge_sightings(pages: DataFrame, table: MergedTable, label: str, delay: str = DELAY, hold: str = HOLD,
                     progress: list | None = None) -> DataFrame:
     """Run the stream over what has landed into ``table``, each micro-batch one merge; returns one row per ad."""
-    _run(first_sightings_stream(pages, delay, hold), label, "update", table.merge, progress)
+    stream = first_sightings_stream(pages, delay, hold, [f.name for f in table.schema])
+    _run(stream, label, "update", table.merge, progress)
     return table.read().drop(*_PLACE, "pos")
 
 
-def sightings_table(pages: DataFrame, path: str, buckets: int = 64) -> MergedTable:
-    """An empty stored table for the sightings of ``pages``: one row per ad, the first in crawl order."""
-    return MergedTable(pages.sparkSession, path, first_sightings_stream(pages).schema, ["ad_id"], [*_PLACE, "pos"], buckets)
+def sightings_table(pages: DataFrame, path: str, buckets: int = 64, columns: Sequence[str] | None = None) -> MergedTable:
+    """An empty stored table for the sightings of ``pages``: one row per ad, the first in crawl order; ``columns`` are what is
+    wanted besides the key (else all)."""
+    return MergedTable(pages.sparkSession, path, first_sightings_stream(pages, columns=columns).schema, ["ad_id"], [*_PLACE, "pos"], buckets)
 
 
 def crawl_progress_stream(pages: DataFrame, max_pages: int = MAX_PAGES, delay: str = DELAY, hold_hours: int = 24) -> DataFrame:

@@ -9,10 +9,13 @@ import time
 import pytest
 
 import __spark_entry__ as entry_module
+from adlens import session
+from adlens.operators.merge import MergedTable
 from adlens.operators.ranking import ordered_positions
 from adlens.operators.search_pages import collect_listings
 from adlens.plans.jobs import collect_to_tables
 from adlens.sources import fixtures
+from adlens.streaming import jobs as streams
 
 
 def shuffle_blocks(spark) -> int:
@@ -86,3 +89,36 @@ def test_collecting_to_tables_leaves_no_shuffle_files(spark, tables, tmp_path):
     assert collect_to_tables(pages, str(tmp_path / "raw")).schema == collect_listings(pages).schema
     assert settles_at(spark, before)
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 170
+
+
+def test_a_sightings_table_of_some_columns(spark, tables, tmp_path):
+    pages = streams.page_stream(spark, fixtures.search_pages_path(spark, tables))
+    table = streams.sightings_table(pages, str(tmp_path / "table"), 4, ["heading", "price_amount"])
+    assert set(table.schema.names) == {"ad_id", "heading", "price_amount", "_query", "_range", "_page", "pos"}
+    reports = []
+    merged = streams.merge_sightings(pages, table, "some", progress=reports)
+    want = collect_listings(fixtures.search_pages(spark, tables)).select("ad_id", "heading", "price_amount")
+    assert merged.columns == want.columns and merged.count() == 170 and merged.exceptAll(want).count() == 0
+    assert any("rocksdb" in name.lower() for name in reports[0]["stateOperators"][0]["customMetrics"])
+
+
+def test_streams_keep_their_state_on_disk_whatever_the_session(spark):
+    class Conf(dict):
+        set, unset = dict.__setitem__, dict.__delitem__
+
+    for named in ({}, {"spark.sql.streaming.stateStore.providerClass": "own"}):
+        conf = Conf(named)
+        with session.state_on_disk(type("S", (), {"conf": conf})()):
+            assert {**session.STREAM_SETTINGS, **named} == conf
+        assert conf == named
+
+
+def test_a_merge_into_an_empty_bucket_does_not_join(spark, tmp_path, monkeypatch):
+    table = MergedTable(spark, str(tmp_path / "table"), spark.range(0).selectExpr("id", "id as place").schema, ["id"], ["place"], 4)
+    asked = []
+    real = table._better
+    monkeypatch.setattr(table, "_better", lambda *a: asked.append(1) or real(*a))
+    table.merge(spark.range(100).selectExpr("id", "5L as place"), 0)
+    assert asked == [] and table.read().count() == 100
+    assert table.merge(spark.range(200).selectExpr("id", "CASE WHEN id < 50 THEN 1L ELSE 9L END as place"), 1) == {0, 1, 2, 3}
+    assert asked == [1] and [tuple(r) for r in table.read().groupBy("place").count().orderBy("place").collect()] == [(1, 50), (5, 50), (9, 100)]
