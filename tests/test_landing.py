@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from adlens import session
+from adlens.operators import information
 from adlens.operators.merge import MergedTable
 from adlens.operators.ranking import ordered_positions
 from adlens.operators.search_pages import collect_listings
@@ -122,3 +123,32 @@ def test_a_merge_into_an_empty_bucket_does_not_join(spark, tmp_path, monkeypatch
     assert asked == [] and table.read().count() == 100
     assert table.merge(spark.range(200).selectExpr("id", "CASE WHEN id < 50 THEN 1L ELSE 9L END as place"), 1) == {0, 1, 2, 3}
     assert asked == [1] and [tuple(r) for r in table.read().groupBy("place").count().orderBy("place").collect()] == [(1, 50), (5, 50), (9, 100)]
+
+
+def test_neighbour_information_deletes_what_it_landed(spark):
+    df = spark.range(400).selectExpr("CAST(id % 3 AS STRING) AS cat", "CAST(hash(id) % 100 AS DOUBLE) AS num", "CAST(hash(id, 1) % 50 AS DOUBLE) AS log_price")
+
+    def folders():
+        root = session.scratch_path(spark, "x").rsplit("/", 2)[0]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "*/*"))
+        return {f.getPath().getName() for f in found or []}
+
+    before = folders()
+    got = information.neighbour_information(df, ["cat"], ["num"], block_rows=16)
+    left = folders() - before
+    assert len(left) == 1 and next(iter(left)).startswith("information-")
+    assert {r.feature for r in got.collect()} == {"cat", "num"} and all(r.mi is not None for r in got.collect())
+
+
+def test_counts_of_an_axis_that_spans_partitions(spark):
+    values = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS axis", "CAST(id AS DOUBLE) AS value")
+    asked = spark.range(0, 3000, 7).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS axis", "CAST(id AS STRING) AS id", "CAST(id AS DOUBLE) AS low", "CAST(id + 1000 AS DOUBLE) AS high")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.axis, r.id): r.n for r in information.counts_within(values, asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    held = {"a": [v for v in range(3000) if v % 3 == 0], "b": [v for v in range(3000) if v % 3]}
+    want = {(x, str(i)): sum(i <= v <= i + 1000 for v in held[x]) for i in range(0, 3000, 7) for x in ["b" if i % 2 else "a"]}
+    assert got == want
