@@ -152,3 +152,12 @@ def test_counts_of_an_axis_that_spans_partitions(spark):
     held = {"a": [v for v in range(3000) if v % 3 == 0], "b": [v for v in range(3000) if v % 3]}
     want = {(x, str(i)): sum(i <= v <= i + 1000 for v in held[x]) for i in range(0, 3000, 7) for x in ["b" if i % 2 else "a"]}
     assert got == want
+
+
+def test_landed_pages_come_in_row_groups_that_a_reader_can_hold(spark):
+    import pyarrow.parquet as pq
+    wide = spark.range(0, 2000, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 500), i -> md5(string(id * 1000 + i))), '') AS html")
+    path = fixtures.landed_path(spark, "nowhere", "wide-pages", lambda: wide)
+    groups = [g.num_rows for f in pq.ParquetDataset(path.removeprefix("file:")).fragments for g in f.row_groups]
+    assert sum(groups) == 2000 and max(groups) < 1000
+    assert spark.read.parquet(path).exceptAll(wide).count() == 0
